@@ -42,10 +42,8 @@ def repetition_means(docs: DataFrame, weight: Column, source_col: str = "source"
     """
     counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("rows"))
     counts = counts.withColumn("weight", weight.cast("double"))
-    # One row of sums; the sources' own rows are not moved to one task.
-    sums = counts.agg(F.sum("rows").alias("__rows"), F.sum("weight").alias("__weight"))
-    share = F.col("weight") / F.col("__weight")
-    return counts.join(F.broadcast(sums)).select("source", "rows", (share * F.col("__rows") / F.col("rows")).alias("mean"))
+    sums = counts.agg(F.sum("rows").alias("rows"), F.sum("weight").alias("weight")).first()
+    return counts.select("source", "rows", (F.col("weight") / F.lit(sums["weight"]) * F.lit(sums["rows"]) / F.col("rows")).alias("mean"))
 
 
 def poisson_mix(

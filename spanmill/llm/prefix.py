@@ -13,7 +13,8 @@ ROW, PART = "__row", "__part"
 
 
 def with_prefix(staging: Staging, df: DataFrame, order: Sequence[str], measure: str | None, parts: int, tag: str) -> DataFrame:
-    """Adds ROW, the global 0-based order number, and `__before`, the sum of `measure` over all earlier rows.
+    """Adds ROW, the global 0-based order number, `__before`, the sum of `measure` over all earlier rows, and `__total`,
+    that over all rows.
 
     Range partitions are written once, so that partition numbers stay as they are if executors are lost. The totals
     have one row per partition (at most `parts`): only those are summed in one task and broadcast. `order` should
@@ -28,6 +29,7 @@ def with_prefix(staging: Staging, df: DataFrame, order: Sequence[str], measure:
         PART,
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n0"),
         F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__sum0"),
+        F.sum("__sum").over(Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"),
     )
     local = Window.partitionBy(PART).orderBy(*order)
     so_far = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -5,18 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmill.llm import exact, media, mixing, packing, sharding
+from spanmill.llm import attribution, exact, language, media, mixing, packing, sharding, urls
+from spanmill.llm.shared import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.section_tokens(_table(spark, sf_dir, "documents"), rule="first")
+
+
+def op2_bloom_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(spark, _table(spark, sf_dir, "documents"))
+
+
 def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.byte_shards(spark, _table(spark, sf_dir, "documents"), shards=16)
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op4_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels table rates a page by its id: good if of quality and not toxic."""
+    good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
+    return urls.judge_urls(spark, _table(spark, sf_dir, "pages"), labels)
+
+
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.poisson_mix(spark, _table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "mix_copy", "mix_key", F.round("mix_mean", 9).alias("mix_mean"))
@@ -35,7 +52,10 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_section_tokens": op1_section_tokens,
+    "op2_bloom_language": op2_bloom_language,
     "op3_byte_shards": op3_byte_shards,
+    "op4_path_templates": op4_path_templates,
     "op5_poisson_mix": op5_poisson_mix,
     "op6_length_buckets": op6_length_buckets,
     "op9_exact_groups": op9_exact_groups,

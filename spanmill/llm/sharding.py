@@ -34,10 +34,8 @@ def byte_shards(spark: SparkSession, docs: DataFrame, shards: int = 16, id_col:
         "narrow",
     )
     parts = parts_for(spark, input_bytes(narrow), 24 * ROWS_PER_PART)
-    total = F.broadcast(narrow.agg(F.sum("size").alias("__total")))
     placed = (
         with_prefix(staging, narrow, ["doc_id", "size", "text_crc32"], "size", parts, "ranged")
-        .join(total)
         .withColumn("shard", F.expr(f"cast((2 * __before + size) * {int(shards)} div (2 * __total) as int)"))
         .select("doc_id", "size", "text_crc32", "shard", ROW)
     )

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_SHARED_DIR
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to Python workers that would not find it: once a context, and not at all where PYTHONPATH or
+    the working folder already leads to it."""
+    home = Path(__file__).resolve().parents[2]
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    context = spark.sparkContext
+    if any(p and Path(p).resolve() == home for p in known) or getattr(context, "_spanmill_shipped", False):
+        return
+    at = tempfile.mkdtemp()  # the driver serves the file from here until it ends
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{at}/spanmill", "zip", home, "spanmill"))
+    context._spanmill_shipped = True
+
+
 class Staging:
     """Tables of one operator run under one folder of the shared store.
 
@@ -29,6 +48,7 @@ class Staging:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._path(self.root, lambda fs, path: fs.deleteOnExit(path))
