@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmill.llm import attribution, exact, language, media, mixing, neardup, packing, sharding, urls
+from spanmill.llm import attribution, exact, language, media, mixing, neardup, packing, repeats, sharding, urls
 from spanmill.llm.shared import ship
 
 
@@ -47,6 +47,10 @@ def op7_minmax_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(spark, _table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op8_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(spark, _table(spark, sf_dir, "documents"), digest=True)
+
+
 def op9_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(spark, _table(spark, sf_dir, "documents")).drop("row_key")
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op5_poisson_mix": op5_poisson_mix,
     "op6_length_buckets": op6_length_buckets,
     "op7_minmax_groups": op7_minmax_groups,
+    "op8_super_kmers": op8_super_kmers,
     "op9_exact_groups": op9_exact_groups,
     "op10_png_media": op10_png_media,
 }
