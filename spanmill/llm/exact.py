@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanmill.llm.shared import Staging, input_bytes, parts_for, row_key
+from spanmill.llm.shared import Staging, input_bytes, keep_rows, parts_for, row_key
 from spanmill.llm.textbytes import lower_ascii, sliced, utf8
 
 #: Bytes of a block; part of a name's meaning, not of a result's.
@@ -131,3 +131,8 @@ def exact_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     return rows.join(groups, ["blocks", "name"]).select(
         "doc_id", "keep_id", "group_size", stays.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), F.col("k2").alias("row_key")
     )
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that exact_groups() keeps: one of each group of equal texts, all columns as they are."""
+    return keep_rows(docs, exact_groups(spark, docs, id_col, text_col).where("kept"), id_col, text_col)

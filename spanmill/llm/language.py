@@ -197,3 +197,34 @@ def identify(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     )
     labelled = rows.where("not held_out and doc_id is not null").select(F.col("doc_id").alias("id"), "lang", "text")
     return predict_languages(spark, rows, fit_filters(spark, labelled))
+
+
+#: Under this share of known n-grams a text counts as no language's.
+LEAST_SCORE = 0.1
+
+
+def _kept(model, text_col: str):
+    def run(batches):
+        filters = model.value
+        for whole in batches:
+            for part in sliced(whole, text_col):
+                data, at = utf8(part.column(part.schema.get_field_index(text_col)))
+                langs, score = decide(filters, *grams(data, at))
+                keep = [x != UNKNOWN and s >= LEAST_SCORE for x, s in zip(langs, score.tolist(), strict=True)]
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose text is in a language: not `und`, and of LEAST_SCORE at least.
+
+    The filters are fitted as identify() fits them. With no labelled row to learn from, every row with a letter stays,
+    since nothing speaks against any. A map without a shuffle.
+    """
+    labelled = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 2, F.lit(True))
+    filters = fit_filters(spark, labelled.where(~held))
+    if not filters.languages:
+        return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    return docs.mapInArrow(_kept(spark.sparkContext.broadcast(filters), text_col), docs.schema)

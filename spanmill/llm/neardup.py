@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanmill.llm.components import connected
-from spanmill.llm.shared import Staging, input_bytes, parts_for, row_key
+from spanmill.llm.shared import Staging, input_bytes, keep_rows, parts_for, row_key
 from spanmill.llm.textbytes import _PLACES, lower_ascii, mixed, run_prints, sliced, starts_of_runs, utf8, word_prints, words
 
 SHINGLE = 5
@@ -264,3 +264,13 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.col("k2").alias("row_key")
     )
+
+
+def keep_representatives(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that stand for their component: that of the least id, all columns as they are.
+
+    Of several texts under that id the one of the least row key stays. Groups without any id stay whole.
+    """
+    groups = near_groups(spark, docs, id_col, text_col)
+    named = groups.where("kept").groupBy("doc_id").agg(F.min("row_key").alias("row_key"))
+    return keep_rows(docs, named.unionByName(groups.where("component_id is null").select("doc_id", "row_key")), id_col, text_col)

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (tests on one machine).
@@ -86,3 +86,17 @@ def key_hash(*cols: Column | str) -> Column:
 def row_key(id_col: str, text_col: str) -> Column:
     """With the id, tells rows of a repeated id apart; rows alike in id and text share it."""
     return F.xxhash64(F.col(text_col), F.col(id_col), F.col(text_col).isNull())
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose (id, row key) is in `kept` (doc_id, row_key).
+
+    Of rows alike in id and text one stays, the first by the other columns that can be ordered.
+    """
+    names = docs.columns
+    rest = [f.name for f in docs.schema.fields if f.name not in (id_col, text_col) and f.dataType.simpleString().split("<")[0] not in ("map", "variant")]
+    keyed = docs.withColumn("__k1", F.col(id_col).cast("long")).withColumn("__k2", row_key(id_col, text_col))
+    chosen = kept.select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__r"))
+    joined = keyed.join(chosen, (F.col("__k2") == F.col("__r")) & F.col("__k1").eqNullSafe(F.col("__d")), "left_semi")
+    one = Window.partitionBy("__k2", "__k1").orderBy(*(rest or ["__k2"]))
+    return joined.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*(f"`{n}`" for n in names))
