@@ -20,8 +20,8 @@ PERCENT = 75
 PERMUTATIONS = 64
 BANDS = 32
 #: Candidates agree in at least this many of the 128 values' low two bits. At similarity 0.75 the mean is 104 and the
-#: deviation 4.4, so a link fails this with a chance below 1e-9.
-LEAST_AGREEMENT = 76
+#: deviation 4.4, so a link fails this with a chance below 1e-8.
+LEAST_AGREEMENT = 78
 #: Bands of one pair at similarity 0.75 all differ with a chance of (1 - 0.75^4)^32 < 6e-6.
 #: Members of a bucket that are compared in one go; larger buckets are first split by a second band.
 BUCKET_ROWS = 512
@@ -142,7 +142,7 @@ def _texts_of(docs: DataFrame, classes: DataFrame, cids: DataFrame, id_col: str,
     return joined.select("cid", "text")
 
 
-def _links(staging: Staging, pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     """The pairs that are links on full sets. Each pair's members meet at its first, `a`; a hot `a` is copied to salts."""
     load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
     members = pairs.join(load, "a").select(F.col("a").alias("centre"), F.pmod(F.hash("b"), F.col("salts")).alias("salt"), F.lit(1).alias("role"), F.col("b").alias("cid"))
@@ -152,57 +152,103 @@ def _links(staging: Staging, pairs: DataFrame, texts: DataFrame, parts: int) ->
     return dealt.mapInArrow(_confirmed, "a long, b long")
 
 
-def _compared(batches):
-    """Rows (bucket, comp, cid, n, s0..s3) in order of bucket: pairs of one bucket and two components that sizes and
-    signatures do not rule out, each row against the bucket's rows before it."""
-    held: list[np.ndarray] = []
+def _resolved(batches):
+    """Rows (bucket, salt, salts, own, comp, cid, n, s0..s3, text) in order of bucket: links between components.
+
+    Pairs of one bucket and two components that sizes and signatures do not rule out are confirmed on full sets, the
+    likeliest first. Components that a link joins count as one from then on, so that a bucket costs few tests where
+    most members belong together and gives at most a link a member. Two rows that are not the centre's own component
+    meet in every salt and are compared in one.
+    """
+    held: list[pa.RecordBatch] = []
     bucket = None
 
     def flush():
-        rows = np.concatenate(held)
-        # Rows in blocks, so that memory is bounded by block x bucket.
-        for first in range(0, len(rows), 256):
-            block = rows[first : first + 256]
-            x, y = block[:, None, 4:].view(np.uint64), rows[None, :, 4:].view(np.uint64)
-            differ = [np.bitwise_count((x[..., i] ^ y[..., i]) | (x[..., i + 2] ^ y[..., i + 2])) for i in range(2)]
+        rows = pa.concat_batches(held) if len(held) > 1 else held[0]
+        salt, salts, own, comp, cid, n = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(1, 7))
+        bits = np.stack([rows.column(k).to_numpy() for k in range(7, 11)], axis=1).view(np.uint64)
+        _, root = np.unique(comp, return_inverse=True)
+        sets: dict[int, np.ndarray] = {}
+        left, right = [], []
+
+        def shingles(i):
+            if i not in sets:
+                sets[i] = shingle_sets(rows.column(11).slice(i, 1))[0]
+            return sets[i]
+
+        for first in range(0, rows.num_rows, 256):
+            block = slice(first, min(first + 256, rows.num_rows))
+            x, y = bits[block, None], bits[None, :]
+            differ = [np.bitwise_count((x[..., k] ^ y[..., k]) | (x[..., k + 2] ^ y[..., k + 2])) for k in range(2)]
             agree = 128 - differ[0].astype(np.int16) - differ[1].astype(np.int16)
-            small = np.minimum(block[:, None, 3], rows[None, :, 3]) * 100
-            near = (agree >= LEAST_AGREEMENT) & (small >= PERCENT * np.maximum(block[:, None, 3], rows[None, :, 3]))
-            near &= (block[:, None, 1] != rows[None, :, 1]) & (block[:, None, 2] < rows[None, :, 2])
+            near = (agree >= LEAST_AGREEMENT) & (root[block, None] != root[None, :]) & (cid[block, None] < cid[None, :])
+            near &= np.minimum(n[block, None], n[None, :]) * 100 >= PERCENT * np.maximum(n[block, None], n[None, :])
+            near &= own[block, None] | own[None, :] | ((cid[block, None] + cid[None, :]) % salts[block, None] == salt[block, None])
             i, j = np.nonzero(near)
-            if i.size:
-                yield pa.RecordBatch.from_arrays([pa.array(block[i, 2]), pa.array(rows[j, 2])], ["a", "b"])
+            order = np.argsort(-agree[i, j], kind="stable")
+            for a, b in zip((i[order] + first).tolist(), j[order].tolist(), strict=True):
+                if root[a] != root[b]:
+                    one, two = shingles(a), shingles(b)
+                    both = np.intersect1d(one, two, assume_unique=True).size
+                    if 100 * both >= PERCENT * (one.size + two.size - both):
+                        root[root == root[b]] = root[a]
+                        left.append(int(cid[a]))
+                        right.append(int(cid[b]))
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        table = np.stack([batch.column(k).to_numpy() for k in range(8)], axis=1)
-        edges = [0, *(np.flatnonzero(np.diff(table[:, 0])) + 1).tolist(), len(table)]
+        keys = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
         for first, last in zip(edges, edges[1:], strict=False):
-            if table[first, 0] != bucket:
-                if held:
-                    yield from flush()
-                held, bucket = [], table[first, 0]
-            held.append(table[first:last])
+            if keys[first] != bucket and held:
+                yield flush()
+                held.clear()
+            bucket = keys[first]
+            held.append(batch.slice(first, last - first))
     if held:
-        yield from flush()
+        yield flush()
 
 
-def _unresolved(staging: Staging, classes: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
-    """Plausible pairs that share a bucket but no component yet. Members of a bucket with over BUCKET_ROWS rows are
-    dealt by each other band too, in which a pair of similarity 0.75 agrees at least once with chance 1 - 8e-6."""
-    narrow = classes.join(labels, classes["cid"] == labels["id"], "left").select(
-        "cid", F.coalesce("comp", "cid").alias("comp"), "n", "bands", *(F.get("bits", F.lit(i)).alias(f"s{i}") for i in range(4))
-    )
-    rows = narrow.select("*", F.explode("bands").alias("bucket"))
-    mixed_buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("__rows"), F.min("comp").alias("__lo"), F.max("comp").alias("__hi")).where("__lo < __hi")
-    rows = rows.join(mixed_buckets.select("bucket", "__rows"), "bucket")
-    cols = ["bucket", "comp", "cid", "n", "s0", "s1", "s2", "s3"]
-    small = rows.where(F.col("__rows") <= BUCKET_ROWS).select(*cols)
-    split = rows.where(F.col("__rows") > BUCKET_ROWS).withColumn("other", F.explode("bands")).where("other != bucket")
-    split = split.withColumn("bucket", F.xxhash64("bucket", "other")).select(*cols)
-    dealt = small.unionByName(split).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_compared, "a long, b long").distinct()
+def _shared_buckets(staging: Staging, classes: DataFrame) -> DataFrame:
+    """(bucket, cid, a) of all buckets with several classes. `a` is the bucket's centre: the class with the most
+    company over all its buckets (ties: the least cid), which in a family of near copies is the text that most of them
+    were made from, so that one star joins the family."""
+    rows = classes.select("cid", F.explode("bands").alias("bucket"))
+    several = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = staging.write(rows.join(several, "bucket"), "several")
+    company = shared.groupBy("cid").agg(F.sum("n").alias("company"))
+    ranked = shared.join(company, "cid").select("bucket", "cid", F.struct("company", (-F.col("cid")).alias("neg")).alias("rank"))
+    centre = ranked.groupBy("bucket").agg((-F.max("rank")["neg"]).alias("a"))
+    out = staging.write(shared.select("bucket", "cid").join(centre, "bucket"), "shared")
+    staging.drop("several")
+    return out
+
+
+def _more_links(classes: DataFrame, shared: DataFrame, labels: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+    """Links inside buckets that hold several components still, from `shared` rows (bucket, cid, a).
+
+    A bucket with over BUCKET_ROWS rows is split: the members of the centre's component are dealt to salts and the
+    others are copied to each; or, if the others are too many for that, all members are dealt by each of their other
+    bands, in which a pair of similarity 0.75 agrees at least once with chance 1 - 8e-6.
+    """
+    comp = lambda name: labels.select(F.col("id").alias(f"__{name}"), F.col("comp").alias(f"comp_{name}"))
+    named = shared.join(comp("cid"), F.col("cid") == F.col("__cid"), "left").join(comp("a"), F.col("a") == F.col("__a"), "left")
+    named = named.select("bucket", "cid", F.coalesce("comp_cid", "cid").alias("comp"), F.coalesce("comp_a", "a").alias("comp_a"))
+    load = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("comp") != F.col("comp_a")).alias("others")).where("others > 0")
+    salts = F.ceil(F.col("rows") / BUCKET_ROWS).cast("int")
+    rows = named.join(load.withColumn("salts", salts), "bucket").withColumn("own", F.col("comp") == F.col("comp_a"))
+    by_salt = F.col("others") * F.col("salts") <= (BANDS - 1) * F.col("rows")
+    dealt = F.when(F.col("own"), F.array(F.pmod(F.hash("cid"), F.col("salts")))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
+    cols = ["bucket", "salt", "salts", "own", "comp", "cid"]
+    salted = rows.where(by_salt).withColumn("salt", F.explode(dealt)).withColumn("bucket", F.xxhash64("bucket", "salt")).select(*cols)
+    bands = classes.select("cid", F.explode("bands").alias("other"))
+    split = rows.where(~by_salt).join(bands, "cid").where("other != bucket").withColumn("bucket", F.xxhash64("bucket", "other"))
+    split = split.withColumn("salt", F.lit(0)).withColumn("salts", F.lit(1)).select(*cols)
+    bits = classes.select("cid", "n", *(F.get("bits", F.lit(i)).alias(f"s{i}") for i in range(4)))
+    placed = salted.unionByName(split).join(bits, "cid").join(texts, "cid").select(*cols, "n", "s0", "s1", "s2", "s3", "text")
+    return placed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolved, "a long, b long")
 
 
 def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,15 +263,16 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     gives an empty result.
 
     1. Documents with equal sets are one class (128-bit key); classes get min-max signatures and 32 bands.
-    2. Each class is paired with its buckets' least class: one pair a row, whatever the bucket's size. Sizes and
-       two-bit signatures rule pairs out; the rest are confirmed on full sets, computed anew from the texts, and
-       confirmed pairs make components.
+    2. Each class is paired with its buckets' centres: one pair a row, whatever the bucket's size. Sizes and two-bit
+       signatures rule pairs out; the rest are confirmed on full sets, computed anew from the texts, and confirmed
+       pairs make components.
     3. Buckets that still hold several components are compared across these, so that a link between two members that
-       both differ from the least class is found; plausible pairs are confirmed in the same way.
-    A link is lost only if all 32 bands differ (below 6e-6 at 0.75, less above) or by the signature test (below 1e-9).
+       both differ from the centre is found; pairs are confirmed in the same way, inside the bucket, and only links
+       that join components leave it.
+    A link is lost only if all 32 bands differ (below 6e-6 at 0.75, less above) or by the signature test (below 1e-8).
     """
     staging = Staging(spark, "near_groups")
-    parts = parts_for(spark, 2 * input_bytes(docs.select(text_col)), PART_BYTES)
+    parts = parts_for(spark, 2 * input_bytes(docs), PART_BYTES)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("k2"), F.col(text_col).alias("text"))
     signed = staging.write(keyed.mapInArrow(_signed, "doc_id long, k2 long, n long, set_key binary, bands array<long>, bits array<long>"), "signed")
     classes = (
@@ -241,21 +288,15 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         .withColumn("cid", F.monotonically_increasing_id())
     )
     classes = staging.write(classes, "classes")
-    rows = classes.select("cid", F.explode("bands").alias("bucket"))
-    least = rows.groupBy("bucket").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    pairs = rows.join(least, "bucket").where("cid != a").select("a", F.col("cid").alias("b")).distinct()
-    pairs = staging.write(_plausible(pairs, classes), "pairs")
-    texts = staging.write(_texts_of(docs, classes, pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))), id_col, text_col), "texts")
-    links = staging.write(_links(staging, pairs, texts, parts), "links")
-    staging.drop("texts")
+    shared = _shared_buckets(staging, classes)
+    texts = staging.write(_texts_of(docs, classes, shared.select("cid"), id_col, text_col), "texts")
+    pairs = shared.where("cid != a").select("a", F.col("cid").alias("b")).distinct()
+    links = staging.write(_links(_plausible(pairs, classes), texts, parts), "links")
     labels = connected(staging, links, "labels")
-    more = staging.write(_unresolved(staging, classes, labels, parts).join(pairs, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        texts = staging.write(_texts_of(docs, classes, more.select(F.col("a").alias("cid")).unionByName(more.select(F.col("b").alias("cid"))), id_col, text_col), "texts2")
-        found = staging.write(_links(staging, more, texts, parts), "links2")
-        staging.drop("texts2")
-        if not found.isEmpty():
-            labels = connected(staging, links.unionByName(found), "relabels")
+    found = staging.write(_more_links(classes, shared, labels, texts, parts), "more")
+    if not found.isEmpty():
+        labels = connected(staging, links.unionByName(found), "relabels")
+    staging.drop("texts", "shared")
     named = classes.select("set_key", "cid", "least").join(labels, F.col("cid") == F.col("id"), "left").withColumn("comp", F.coalesce("comp", "cid"))
     heads = named.groupBy("comp").agg(F.min("least").alias("component"))
     named = named.join(heads, "comp").select("set_key", "component")
