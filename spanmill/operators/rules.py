@@ -26,6 +26,10 @@ class Condition:
         if self.op not in _OPS:
             raise ValueError(f"unknown comparison {self.op}")
 
+    @property
+    def text(self) -> str:
+        return f"{self.metric}{self.op}{self.threshold:g}"
+
     def column(self) -> Column:
         """Never true of null or NaN."""
         x = F.col(self.metric).cast("double")
@@ -84,7 +88,7 @@ def candidate_rules(rows: DataFrame, positive: str, conditions: Sequence[Conditi
     mask = functools.reduce(lambda a, b: a + b, (c.column().cast("int") * F.lit(1 << i) for i, c in enumerate(conditions)))
     counts = rows.groupBy(mask.cast("int").alias("mask"), F.col(positive).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     combos = [c for k in range(1, most + 1) for c in itertools.combinations(range(len(conditions)), k)]
-    options = F.array(*(F.struct(F.lit("&".join(conditions[i].metric for i in c)).alias("rule"), F.lit(sum(1 << i for i in c)).alias("need")) for c in combos))
+    options = F.array(*(F.struct(F.lit("&".join(conditions[i].text for i in c)).alias("rule"), F.lit(sum(1 << i for i in c)).alias("need")) for c in combos))
     tested = counts.withColumn("o", F.explode(options)).withColumn("hit", F.col("mask").bitwiseAND(F.col("o.need")) == F.col("o.need"))
     total = lambda test: F.coalesce(F.sum(F.when(test & F.col("hit"), F.col("n"))), F.lit(0).cast("long"))
     return tested.groupBy("o.rule").agg(total(~F.col("p")).alias("hits"), total(F.col("p")).alias("covered")).orderBy("hits", F.desc("covered"), "rule").limit(limit)

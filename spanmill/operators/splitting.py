@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,37 +108,32 @@ def concat_groups(items: DataFrame, group: str, key: str, sizes: tuple[int, int]
     In hash order of each group's items, sizes are drawn between the bounds until fewer than the lower bound are left;
     the rest is not used. A gap of a whole number of units follows each item but a group's last. Draws are keyed by
     (seed, epoch, group), so a group's result does not depend on the others. Adds part, place, gap (in samples).
-    The cut is sequential in a group, so a group's keys, not its rows, are folded in one task.
+    The cut is sequential in a group, so a group's keys, not its rows, are folded, in one expression.
     """
     low, high = sizes
     if not 1 <= low <= high:
         raise ValueError("sizes must be ascending and positive")
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__h", key], kind="stable").reset_index(drop=True)
-        part, place, at, k = [-1] * len(pdf), [-1] * len(pdf), 0, 0
-        draws = pdf["__u"].to_numpy()
-        while len(pdf) - at >= low:
-            take = min(low + int(draws[at] * (high - low + 1)), len(pdf) - at)
-            for i in range(take):
-                part[at + i], place[at + i] = k, i
-            at, k = at + take, k + 1
-        pdf["part"], pdf["place"] = part, place
-        size = pdf.groupby("part")[key].transform("size")
-        units = gap_units[0] + (pdf["__v"] * (gap_units[1] - gap_units[0] + 1)).astype(int)
-        pdf["gap"] = (units * unit * rate).round().astype("int64").where(pdf["place"] < size - 1, 0)
-        return pdf.loc[pdf["part"] >= 0, [group, key, "part", "place", "gap"]]
-
     s = F.lit(f"{seed}.{epoch}")
-    keyed = items.select(
-        group,
-        key,
-        F.sha2(F.concat_ws(":", s, F.col(group).cast("string"), F.col(key).cast("string")), 256).alias("__h"),
-        hash_uniform(s, F.lit("size"), F.col(group).cast("string"), F.col(key).cast("string")).alias("__u"),
-        hash_uniform(s, F.lit("gap"), F.col(group).cast("string"), F.col(key).cast("string")).alias("__v"),
-    )
-    fields = f"{group} {items.schema[group].dataType.simpleString()}, {key} {items.schema[key].dataType.simpleString()}, part int, place int, gap long"
-    return keyed.groupBy(group).applyInPandas(cut, fields)
+    ids = [F.col(group).cast("string"), F.col(key).cast("string")]
+    item = F.struct(F.sha2(F.concat_ws(":", s, *ids), 256).alias("h"), F.col(key).alias("key"), hash_uniform(s, F.lit("size"), *ids).alias("u"), hash_uniform(s, F.lit("gap"), *ids).alias("v"))
+    lists = items.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("__all"))
+    n = F.size("__all")
+    kind = "array<struct<i:int,part:int,place:int,last:boolean>>"
+    start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("end"), F.lit(-1).alias("part"), F.array().cast(kind).alias("out"))
+
+    def step(acc: Column, i: Column) -> Column:
+        new = (i == acc["end"]) & (n - i >= low)
+        take = F.least(F.lit(low) + F.floor(F.get("__all", i)["u"] * (high - low + 1)).cast("int"), n - i)
+        first, end = F.when(new, i).otherwise(acc["first"]), F.when(new, i + take).otherwise(acc["end"])
+        part = F.when(new, acc["part"] + 1).otherwise(acc["part"])
+        placed = F.struct(i.alias("i"), part.alias("part"), (i - first).alias("place"), (i == end - 1).alias("last"))
+        return F.struct(first.alias("first"), end.alias("end"), part.alias("part"), F.when(i < end, F.concat(acc["out"], F.array(placed))).otherwise(acc["out"]).cast(kind).alias("out"))
+
+    cut = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda acc: acc["out"])
+    rows = lists.select(group, "__all", F.explode(cut).alias("p"))
+    units = F.lit(gap_units[0]) + F.floor(F.get("__all", F.col("p.i"))["v"] * (gap_units[1] - gap_units[0] + 1))
+    gap = F.when(F.col("p.last"), F.lit(0).cast("long")).otherwise(F.bround(units * unit * rate, 0).cast("long"))
+    return rows.select(group, F.get("__all", F.col("p.i"))["key"].alias(key), "p.part", "p.place", gap.alias("gap"))
 
 
 def epoch_concat_groups(items: DataFrame, group: str, key: str, count: int, epoch: int, passes: int = 4, seed: int = 42, **spec) -> DataFrame:

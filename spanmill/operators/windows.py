@@ -165,11 +165,11 @@ def kept_position(start: Column, old_room: Column, new_room: Column) -> Column:
 
 
 def first_passing(candidates: DataFrame, keys: Sequence[str], passes: Column, attempt: str = "attempt") -> DataFrame:
-    """Per key the first attempt that passes, else the first attempt of all (attempt 0 is the base draw)."""
-    rank = F.struct((~passes).cast("int").alias("late"), F.col(attempt).alias("at"))
+    """Per key the first attempt that passes, else attempt 0, the base draw; ties by the other columns."""
     rest = [c for c in candidates.columns if c not in keys]
-    best = candidates.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.when(passes | (F.col(attempt) == 0), rank)).alias("__best"))
-    return best.select(*keys, "__best.*")
+    able = candidates.where(passes | (F.col(attempt) == 0)).withColumn("__late", (~passes).cast("int"))
+    best = able.groupBy(*keys).agg(F.min(F.struct("__late", attempt, F.struct(*rest).alias("row"))).alias("__best"))
+    return best.select(*keys, "__best.row.*")
 
 
 def split_consistency(windows: DataFrame, whole: DataFrame) -> DataFrame:
