@@ -244,7 +244,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     Equal super-k-mers of a mapper's flush travel once, so that a hot passage costs a bucket its places, not its texts.
     """
     staging = Staging(spark, "remove_repeats")
-    size = input_bytes(docs.select(text_col))
+    size = input_bytes(docs)
     buckets = parts_for(spark, SWELL * size, BUCKET_BYTES)
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k1"), row_key(id_col, text_col).alias("k2"), F.col(text_col).alias("text"))
     packed = keyed.mapInArrow(_packed(buckets), "bucket int, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
