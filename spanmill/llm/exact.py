@@ -78,7 +78,7 @@ def _named(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
 
 def block_identities(spark: SparkSession, staging: Staging, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per (id, row key) of `docs`: k1, k2, blocks, name. Texts are equal iff (blocks, name) are."""
-    parts = parts_for(spark, 2 * input_bytes(docs), PART_BYTES)
+    parts = parts_for(spark, input_bytes(docs), PART_BYTES, factor=2)
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k1"), row_key(id_col, text_col).alias("k2"), F.col(text_col).alias("text"))
     blocks = keyed.mapInArrow(_blocks, f"block binary, places {_REF}")
     first = staging.write(_named(blocks, ["block"], parts).select(F.explode("places").alias("p"), "name").select("p.*", "name"), "level0")

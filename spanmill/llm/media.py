@@ -24,7 +24,7 @@ LEVEL = 1
 SIDE = 32
 LOW = 8
 _freq, _place = np.arange(SIDE)[:, None], np.arange(SIDE)[None, :]
-_COSINE = np.cos(np.pi * (2 * _place + 1) * _freq / (2 * SIDE))[: LOW + 1]
+_COSINE = np.cos(np.pi * (2 * _place + 1) * _freq / (2 * SIDE))[:LOW]
 
 
 class BadPicture(ValueError):
@@ -141,9 +141,9 @@ def _shrunk(samples: np.ndarray) -> np.ndarray:
 
 
 def cosine_hash(samples: np.ndarray) -> bytes:
-    """64 bits: the lowest LOW x LOW cosine coefficients without the constant row and column, each over their median."""
-    low = (_COSINE @ _shrunk(samples) @ _COSINE.T)[1:, 1:]
-    return np.packbits(np.round(low, 6) > np.round(np.median(low), 6)).tobytes()
+    """64 bits: whether each of the lowest LOW x LOW cosine coefficients is over the median of all but the constant one."""
+    low = np.round(_COSINE @ _shrunk(samples) @ _COSINE.T, 6).ravel()
+    return np.packbits(low > np.median(low[1:])).tobytes()
 
 
 def payload(text: bytes) -> bytes:

@@ -77,5 +77,5 @@ def poisson_mix(
         .withColumn("mix_key", key_hash(F.lit(f"order{seed}"), ident, F.col("mix_copy").cast("string")))
     )
     # The keys are uniform, so hashed partitions are even and need no sampling pass over the texts.
-    parts = parts_for(spark, 2 * input_bytes(docs), PART_BYTES)
+    parts = parts_for(spark, input_bytes(docs), PART_BYTES, factor=2)
     return copies.repartition(parts, "mix_key").sortWithinPartitions("mix_key", "mix_copy")

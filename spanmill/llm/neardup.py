@@ -272,7 +272,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     A link is lost only if all 32 bands differ (below 6e-6 at 0.75, less above) or by the signature test (below 1e-8).
     """
     staging = Staging(spark, "near_groups")
-    parts = parts_for(spark, 2 * input_bytes(docs), PART_BYTES)
+    parts = parts_for(spark, input_bytes(docs), PART_BYTES, factor=2)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("k2"), F.col(text_col).alias("text"))
     signed = staging.write(keyed.mapInArrow(_signed, "doc_id long, k2 long, n long, set_key binary, bands array<long>, bits array<long>"), "signed")
     classes = (

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanmill.llm.exact import NO_ID
-from spanmill.llm.shared import Staging, input_bytes, parts_for, row_key
+from spanmill.llm.shared import MOST_PARTS, Staging, input_bytes, parts_for, row_key
 from spanmill.llm.textbytes import mixed, run_prints, sliced, starts_of_runs, utf8, word_prints, words
 
 WINDOW = 35
@@ -22,7 +22,8 @@ FLUSH_BYTES = 8 << 20
 BUCKET_BYTES = 24 << 20
 #: Raw bytes of super-k-mers for a byte of (compressed) input, for sizing only.
 SWELL = 6
-PART_BYTES = 32 << 20
+#: Buckets of a partition are counted one after the other, so that there may be more buckets than partitions.
+MOST_BUCKETS = 1 << 22
 _U = np.uint64
 _RUN = np.random.default_rng(3535).integers(1 << 62, 1 << 63, 2, dtype=np.uint64) | _U(1)
 
@@ -244,10 +245,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     Equal super-k-mers of a mapper's flush travel once, so that a hot passage costs a bucket its places, not its texts.
     """
     staging = Staging(spark, "remove_repeats")
-    size = input_bytes(docs)
-    buckets = parts_for(spark, SWELL * size, BUCKET_BYTES)
+    buckets = parts_for(spark, input_bytes(docs), BUCKET_BYTES, factor=SWELL, most=MOST_BUCKETS)
+    parts = min(buckets, MOST_PARTS)
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k1"), row_key(id_col, text_col).alias("k2"), F.col(text_col).alias("text"))
-    packed = keyed.mapInArrow(_packed(buckets), "bucket int, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    packed = keyed.mapInArrow(_packed(buckets), "bucket int, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     found = packed.mapInArrow(_counted, "k1 long, k2 long, start long, end long")
     ranges = staging.write(found, "ranges").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     rows = docs.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import os
 import shutil
 import tempfile
@@ -67,15 +68,22 @@ class Staging:
             self._path(f"{self.root}/{tag}", lambda fs, path: fs.delete(path, True))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size of the input, from file sizes; no job runs."""
+#: More partitions than this cost more to schedule than they save; a partition is then larger, and spills.
+MOST_PARTS = 1 << 16
+_UNKNOWN = 1 << 60
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size of the input, from file sizes; no job runs. None where it knows none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 60)
+    return size if size < _UNKNOWN else None
 
 
-def parts_for(spark: SparkSession, size: int, each: int) -> int:
-    """Partitions of about `each` bytes, never fewer than the session's shuffle partitions."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+def parts_for(spark: SparkSession, size: int | None, each: int, factor: float = 1, most: int = MOST_PARTS) -> int:
+    """Partitions of about `each` bytes of factor * size, never fewer than the session's shuffle partitions, which are
+    also the answer for an unknown size."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(most, math.ceil((size or 0) * factor / each)))
 
 
 def key_hash(*cols: Column | str) -> Column:
