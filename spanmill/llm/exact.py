@@ -127,6 +127,8 @@ def exact_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     repeat = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("sha"))
     rows = staging.write(rows.join(names, ["k1", "k2"]).withColumn("__repeat", repeat), "rows")
     groups = rows.groupBy("blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("k1", "k2")).alias("__keep"), F.max("doc_id").alias("keep_id"))
+    # Written, so that the join has two plain sides, of which a hot group's can be split.
+    groups = staging.write(groups, "groups")
     stays = (F.col("k1") == F.col("__keep.k1")) & (F.col("k2") == F.col("__keep.k2")) & (F.col("__repeat") == 1)
     return rows.join(groups, ["blocks", "name"]).select(
         "doc_id", "keep_id", "group_size", stays.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), F.col("k2").alias("row_key")
