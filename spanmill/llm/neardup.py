@@ -142,9 +142,10 @@ def _texts_of(docs: DataFrame, classes: DataFrame, cids: DataFrame, id_col: str,
     return joined.select("cid", "text")
 
 
-def _links(pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+def _links(staging: Staging, pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     """The pairs that are links on full sets. Each pair's members meet at its first, `a`; a hot `a` is copied to salts."""
-    load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
+    pairs = staging.write(pairs, "pairs")
+    load = staging.write(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts")), "load")
     members = pairs.join(load, "a").select(F.col("a").alias("centre"), F.pmod(F.hash("b"), F.col("salts")).alias("salt"), F.lit(1).alias("role"), F.col("b").alias("cid"))
     centres = load.select(F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("cid"))
     rows = members.unionByName(centres).join(texts, "cid").select("centre", "salt", "role", "cid", "text")
@@ -291,14 +292,14 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     shared = _shared_buckets(staging, classes)
     texts = staging.write(_texts_of(docs, classes, shared.select("cid"), id_col, text_col), "texts")
     pairs = shared.where("cid != a").select("a", F.col("cid").alias("b")).distinct()
-    links = staging.write(_links(_plausible(pairs, classes), texts, parts), "links")
+    links = staging.write(_links(staging, _plausible(pairs, classes), texts, parts), "links")
     labels = connected(staging, links, "labels")
     found = staging.write(_more_links(classes, shared, labels, texts, parts), "more")
     if not found.isEmpty():
         labels = connected(staging, links.unionByName(found), "relabels")
     staging.drop("texts", "shared")
     named = classes.select("set_key", "cid", "least").join(labels, F.col("cid") == F.col("id"), "left").withColumn("comp", F.coalesce("comp", "cid"))
-    heads = named.groupBy("comp").agg(F.min("least").alias("component"))
+    heads = staging.write(named.groupBy("comp").agg(F.min("least").alias("component")), "heads")
     named = named.join(heads, "comp").select("set_key", "component")
     out = signed.select("doc_id", "k2", "n", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
