@@ -21,13 +21,21 @@ def mean(x: Column) -> Column:
     return F.try_divide(total(x), F.size(x).cast("double"))
 
 
-def quantile(x: Column, q: float) -> Column:
-    """Linear-interpolation quantile of an array without nulls; null if it is empty."""
-    s = F.array_sort(x)
-    at = (F.size(x) - 1) * F.lit(float(q))
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: a lambda's argument is, an expression that occurs twice is not."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def sorted_quantile(s: Column, q: float) -> Column:
+    """Linear-interpolation quantile of a sorted array without nulls; null if it is empty."""
+    at = (F.size(s) - 1) * F.lit(float(q))
     low = F.floor(at).cast("int")
     weight = at - low
-    return F.when(F.size(x) > 0, F.get(s, low) * (1 - weight) + F.coalesce(F.get(s, low + 1), F.get(s, low)) * weight)
+    return F.when(F.size(s) > 0, F.get(s, low) * (1 - weight) + F.coalesce(F.get(s, low + 1), F.get(s, low)) * weight)
+
+
+def quantile(x: Column, q: float) -> Column:
+    return let(F.array_sort(x), lambda s: sorted_quantile(s, q))
 
 
 def frames(x: Column, size: int) -> Column:
@@ -47,7 +55,7 @@ def frame_rms(x: Column, size: int, hop: int) -> Column:
 def log_envelope(rms: Column, floor_db: float = -60.0) -> Column:
     """20 log10, not below floor_db under the maximum."""
     least = F.greatest(F.array_max(rms), F.lit(1e-10)) * 10 ** (floor_db / 20)
-    return F.transform(rms, lambda v: 20 * F.log10(F.greatest(v, least)))
+    return let(least, lambda low: F.transform(rms, lambda v: 20 * F.log10(F.greatest(v, low))))
 
 
 def smoothed(x: Column, radius: int) -> Column:
@@ -81,17 +89,20 @@ def local_maxima(x: Column) -> Column:
 
 def energy(x: Column, frame: int = 320, rel_db: float = 15.0, abs_db: float = -45.0) -> Column:
     """Levels of a waveform in dB of full scale, quantiles over frames, and the shares of loud frames."""
-    db = F.transform(frames(x, frame), lambda f: decibels(power(f)))
-    share = lambda level: F.size(F.filter(db, lambda v: v > level)) / F.size(db)
+    share = lambda db, level: F.size(F.filter(db, lambda v: v > level)) / F.size(db)
     peak = F.array_max(F.transform(x, F.abs))
-    return F.struct(
-        decibels(power(x)).alias("rms_db"),
-        F.when(F.size(x) > 0, 20 * F.log10(peak + 1e-10)).otherwise(-200.0).alias("peak_db"),
-        *(quantile(db, q / 100).alias(f"frame_p{q}") for q in (10, 50, 90, 99)),
-        (quantile(db, 0.95) - quantile(db, 0.10)).alias("frame_range"),
-        share(quantile(db, 0.10) + rel_db).alias("rel_share"),
-        share(F.lit(abs_db)).alias("abs_share"),
-    )
+
+    def levels(db: Column) -> Column:
+        return F.struct(
+            decibels(power(x)).alias("rms_db"),
+            F.when(F.size(x) > 0, 20 * F.log10(peak + 1e-10)).otherwise(-200.0).alias("peak_db"),
+            *(sorted_quantile(db, q / 100).alias(f"frame_p{q}") for q in (10, 50, 90, 99)),
+            (sorted_quantile(db, 0.95) - sorted_quantile(db, 0.10)).alias("frame_range"),
+            let(sorted_quantile(db, 0.10), lambda floor: share(db, floor + rel_db)).alias("rel_share"),
+            share(db, F.lit(abs_db)).alias("abs_share"),
+        )
+
+    return let(F.array_sort(F.transform(frames(x, frame), lambda f: decibels(power(f)))), levels)
 
 
 def waveform_stats(x: Column, threshold: float = 1e-3) -> Column:
@@ -104,19 +115,23 @@ def waveform_stats(x: Column, threshold: float = 1e-3) -> Column:
 
 def frame_output_stats(x: Column, thresholds=(0.01, 0.05)) -> Column:
     """Sum, quantiles, the share of the top tenth, and the shares over thresholds, of per-frame outputs."""
-    top = F.slice(F.reverse(F.array_sort(x)), F.lit(1), F.greatest(F.ceil(F.size(x) * 0.1).cast("int"), F.lit(1)))
-    return F.struct(
-        F.size(x).alias("frames"),
-        total(x).alias("sum"),
-        mean(x).alias("mean"),
-        quantile(x, 0.5).alias("median"),
-        quantile(x, 0.9).alias("p90"),
-        quantile(x, 0.99).alias("p99"),
-        F.array_max(x).alias("max"),
-        F.array_min(x).alias("min"),
-        F.when(total(x) > 0, total(top) / total(x)).alias("top_tenth_share"),
-        *((F.size(F.filter(x, lambda v: v > t)) / F.size(x)).alias(f"over_{t:g}".replace(".", "p")) for t in thresholds),
-    )
+
+    def stats(s: Column) -> Column:
+        top = F.slice(F.reverse(s), F.lit(1), F.greatest(F.ceil(F.size(s) * 0.1).cast("int"), F.lit(1)))
+        return F.struct(
+            F.size(s).alias("frames"),
+            total(s).alias("sum"),
+            mean(s).alias("mean"),
+            sorted_quantile(s, 0.5).alias("median"),
+            sorted_quantile(s, 0.9).alias("p90"),
+            sorted_quantile(s, 0.99).alias("p99"),
+            F.array_max(s).alias("max"),
+            F.array_min(s).alias("min"),
+            F.when(total(s) > 0, total(top) / total(s)).alias("top_tenth_share"),
+            *((F.size(F.filter(s, lambda v: v > t)) / F.size(s)).alias(f"over_{t:g}".replace(".", "p")) for t in thresholds),
+        )
+
+    return let(F.array_sort(x), stats)
 
 
 def fitted(noise: Column, size: Column, offset: Column) -> Column:
@@ -128,7 +143,7 @@ def mixed_at(signal: Column, noise: Column, snr_db: Column) -> Column:
     """signal + noise at a signal-to-noise ratio; a silent signal or noise leaves the signal as it is."""
     scale = F.sqrt(power(signal) / (power(noise) * F.pow(F.lit(10.0), snr_db / 10)))
     loud = (power(signal) > 0) & (power(noise) > 0)
-    return F.when(loud, F.zip_with(signal, noise, lambda a, b: a + scale * b)).otherwise(signal)
+    return F.when(loud, let(scale, lambda k: F.zip_with(signal, noise, lambda a, b: a + k * b))).otherwise(signal)
 
 
 def gained(x: Column, gain_db: Column, limit: float | None = 0.99) -> Column:
@@ -136,7 +151,7 @@ def gained(x: Column, gain_db: Column, limit: float | None = 0.99) -> Column:
     scale = F.pow(F.lit(10.0), gain_db / 20)
     peak = F.array_max(F.transform(x, F.abs)) * scale
     kept = F.when(peak > limit, scale * limit / peak).otherwise(scale) if limit is not None else scale
-    return F.transform(x, lambda v: v * kept)
+    return let(kept, lambda k: F.transform(x, lambda v: v * k))
 
 
 def masked(x: Column, first: Column, width: Column, value: float = 0.0) -> Column:

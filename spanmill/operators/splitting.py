@@ -18,25 +18,28 @@ def hash_order(seed: int, *keys: str | Column) -> Column:
 def greedy_split(groups: DataFrame, group: str, size: str, ratios: Mapping[str, float], seed: int = 42) -> DataFrame:
     """(group, split): groups in descending size go to the split that lacks most of its target; ties by split order.
 
-    Equal sizes are put in hash order. The rule is sequential, so the groups (one row each, not the items) are folded
-    in one task; pre-aggregate items to groups first.
+    Equal sizes are put in hash order. The rule is sequential: the groups (one row each, not the items) stream in order
+    through one task, whose state is what each split lacks; pre-aggregate items to groups first.
     """
     names = list(ratios)
     whole = sum(ratios.values())
     if whole <= 0:
         raise ValueError("ratios must have a positive sum")
-    item = F.struct((-F.col(size)).alias("neg"), hash_order(seed, group).alias("h"), F.col(group).alias("g"))
-    one = groups.agg(F.array_sort(F.collect_list(item)).alias("items"), F.sum(size).alias("total"))
-    empty = F.array().cast(f"array<struct<g:{groups.schema[group].dataType.simpleString()},s:int>>")
-    start = F.struct(F.array(*(F.col("total") * (ratios[n] / whole) for n in names)).alias("lack"), empty.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        to = (F.array_position(acc["lack"], F.array_max(acc["lack"])) - 1).cast("int")
-        lack = F.transform(acc["lack"], lambda v, i: F.when(i == to, v + x["neg"]).otherwise(v))
-        return F.struct(lack.alias("lack"), F.concat(acc["out"], F.array(F.struct(x["g"].alias("g"), to.alias("s")))).alias("out"))
-
-    placed = one.select(F.explode(F.aggregate("items", start, step, lambda acc: acc["out"])).alias("p"))
-    return placed.select(F.col("p.g").alias(group), F.get(F.array(*map(F.lit, names)), F.col("p.s")).alias("split"))
+    total = groups.agg(F.sum(size)).first()[0] or 0
+
+    def place(frames):
+        lack = [float(total) * (ratios[n] / whole) for n in names]
+        for frame in frames:
+            out = []
+            for n in frame["__n"]:
+                to = lack.index(max(lack))
+                lack[to] -= n
+                out.append(names[to])
+            frame["split"] = out
+            yield frame[[group, "split"]]
+
+    ordered = groups.select(group, F.col(size).alias("__n"), hash_order(seed, group).alias("__h")).repartition(1).sortWithinPartitions(F.desc("__n"), "__h", group)
+    return ordered.mapInPandas(place, f"`{group}` {groups.schema[group].dataType.simpleString()}, split string")
 
 
 def split_summary(items: DataFrame, assignment: DataFrame, group: str, amount: str) -> DataFrame:

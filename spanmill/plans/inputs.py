@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanmill.workers import ship
+
 #: Windows of 2 days every 6 hours over the events of a user, from the start of 2024: the ratio of 2 s to 0.25 s.
 SIZE, HOP = 172_800.0, 21_600.0
 _START = "2024-01-01 00:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
