@@ -105,7 +105,8 @@ def path_templates(staging: Staging, pages: DataFrame) -> DataFrame:
         stays = (F.col("__kids") <= FEW_BRANCHES) | (F.col("__n") >= LEAST_SHARE * F.col("__all"))
         kids = kids.join(node, ["host", "__before"]).select("host", "__before", "__at", F.when(stays, F.col("__at")).otherwise(F.lit(WILD)).alias("__to"))
         base = keyed.join(kids, ["host", "__before", "__at"], "left").withColumn("leaf", _with_at("leaf", d, F.col("__to"))).drop("__before", "__at", "__to")
-    base = staging.write(base, "generalised")
+        # Written: each level uses the one before twice, and a plan would double with every level.
+        base = staging.write(base, f"level{d}")
     leaves = base.groupBy("host", "leaf").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("template", F.col("leaf"))
     for d in range(DEPTH, 0, -1):
         after = F.when(F.size("template") > d, F.slice("template", d + 1, DEPTH + 1)).otherwise(F.array().cast("array<string>"))
@@ -120,7 +121,8 @@ def path_templates(staging: Staging, pages: DataFrame) -> DataFrame:
         runs = own.groupBy("host", "__before", "__after", "__run").agg(F.array_join(F.array_sort(F.collect_set("__at")), "|").alias("__to"))
         moved = own.join(runs, ["host", "__before", "__after", "__run"]).select("host", "template", "__to")
         leaves = leaves.join(moved, ["host", "template"], "left").withColumn("template", _with_at("template", d, F.col("__to"))).drop("__to")
-    leaves = staging.write(leaves.drop("good", "bad").join(base, ["host", "leaf"]), "leaves")
+        leaves = staging.write(leaves, f"merged{d}")
+    leaves = leaves.drop("good", "bad").join(base, ["host", "leaf"])
     sums = leaves.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     return leaves.select("host", "segs", "leaf", "template").join(sums, ["host", "template"])
 
