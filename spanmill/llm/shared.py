@@ -35,7 +35,7 @@ class Staging:
         ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._path(self.root, lambda fs, path: fs.deleteOnExit(path))
+        self._path(self.root, lambda fs, path: fs.mkdirs(path) and fs.deleteOnExit(path))
 
     def _path(self, at: str, act) -> None:
         jvm = self.spark.sparkContext._jvm
