@@ -32,5 +32,5 @@ def test_every_oracle_has_a_query():
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert [r["band"] for r in e.entry(spark).collect()].sort() == ["4to6", "6to8", "over8", "under4"].sort()
+    assert sorted(r["band"] for r in e.entry(spark).collect()) == ["4to6", "6to8", "over8", "under4"]
     assert set(e.oracle_sql()) <= set(e.queries())
