@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanmill.functions.arrays import mixed_at
-from spanmill.functions.numeric import band, drawn_between, hash_uniform
-from spanmill.functions.signal import reverberated_udf
+from spanmill.functions.arrays import gained, mixed_at
+from spanmill.functions.numeric import band, drawn_between, hash_uniform, stretch_cdf
+from spanmill.functions.signal import band_pass_udf, reverberated_udf
 from spanmill.functions.text import collapsed
 from spanmill.operators import metrics, registry, splitting, windows
 from spanmill.operators.rules import Rule
@@ -107,6 +107,43 @@ def degraded(items: DataFrame, noises: DataFrame, key: str, samples: str, respon
     return wet.withColumn("degraded", mixed_at(F.col("__wet"), fit, F.lit(float(snr_db)))).drop("__wet", "__n", "__noise")
 
 
+def augmented(
+    planned: DataFrame, key: str, samples: str, response: str, noise: str, rate: float, snr: tuple[float, float] = (0.0, 20.0), gain: tuple[float, float] = (-6.0, 6.0), seed: int = 42
+) -> DataFrame:
+    """Adds `augmented`: the steps of augmentation_plan()'s `applied` in their order (reverb, noise, band, volume), with
+    ratios and gains drawn by the item's key. A step that is not applied leaves the samples as they are."""
+    k, s = F.col(key).cast("string"), F.lit(str(seed))
+    on = lambda n: F.array_contains("applied", n)
+    ratio = drawn_between(hash_uniform(s, F.lit("snr"), k), *snr)
+    db = drawn_between(hash_uniform(s, F.lit("gain"), k), *gain)
+    # Marked as not deterministic, the kernels stay in projections of their own: a lambda cannot hold a Python function.
+    wet = reverberated_udf.asNondeterministic()(F.when(on("reverb"), F.col(samples)), F.col(response))
+    out = planned.withColumn("__wet", wet).withColumn("__x", F.coalesce("__wet", samples))
+    fit = F.transform(F.sequence(F.lit(0), F.size("__x") - 1), lambda i: F.get(F.col(noise), F.pmod(i, F.size(noise))))
+    out = out.withColumn("__x", F.when(on("noise"), mixed_at(F.col("__x"), fit, ratio)).otherwise(F.col("__x")))
+    thin = band_pass_udf(rate * 0.05, rate * 0.35, rate).asNondeterministic()(F.when(on("band"), F.col("__x")))
+    out = out.withColumn("__thin", thin).withColumn("__x", F.coalesce("__thin", "__x"))
+    return out.withColumn("augmented", F.when(on("volume"), gained(F.col("__x"), db)).otherwise(F.col("__x"))).drop("__x", "__wet", "__thin")
+
+
+def stretch_report(rows: DataFrame, stretch: str, low: float, high: float, edges: Sequence[float], kind: str = "log") -> DataFrame:
+    """Drawn stretches against their nominal distribution: at each edge the share drawn below it and the nominal one."""
+    at = F.explode(F.array(*map(F.lit, map(float, edges))))
+    below = rows.select(F.col(stretch).alias("__s"), at.alias("edge")).groupBy("edge").agg(F.avg((F.col("__s") < F.col("edge")).cast("double")).alias("drawn"), F.count(F.lit(1)).alias("n"))
+    return below.withColumn("nominal", stretch_cdf(F.col("edge"), low, high, kind))
+
+
+def measured(spark: SparkSession, runs: Mapping[str, Callable[[], object]], repeats: int, warmup: int, session: str, clock: Callable[[], float]) -> DataFrame:
+    """Times callables in one session, interleaved in rotated order: (latency_session_id, experiment_id, round, ms, warm)."""
+    names, rows = list(runs), []
+    for r in range(warmup + repeats):
+        for name in names[r % len(names) :] + names[: r % len(names)]:
+            start = clock()
+            runs[name]()
+            rows.append((session, name, r, (clock() - start) * 1000, r < warmup))
+    return spark.createDataFrame(rows, "latency_session_id string, experiment_id string, round int, ms double, warm boolean")
+
+
 def quiet_noise(key: Column, samples: Column, dbfs: Column, seed: int = 42) -> Column:
     """Uniform noise of a level in dB of full scale, keyed by an item and a sample's number."""
     width = F.pow(F.lit(10.0), dbfs / 20) * (12**0.5)

@@ -132,6 +132,12 @@ def windows_of_items(windows: DataFrame, sources: DataFrame, targets: DataFrame,
     return windows.join(marked, "source_id", "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
+def window_ranges(windows: DataFrame) -> DataFrame:
+    """Each source's first and last window and their number; windows of a source must be gapless to be a range."""
+    out = windows.groupBy("source_id").agg(F.min("window").alias("first"), F.max("window").alias("last"), F.count(F.lit(1)).alias("n"))
+    return out.withColumn("gapless", F.col("last") - F.col("first") + 1 == F.col("n"))
+
+
 def isolation(spans: Column, threshold: float) -> Column:
     """Whether the first two or the last two starts are more than `threshold` apart; false below two spans."""
     far = lambda i, j: F.try_element_at(spans, F.lit(i))["start"] - F.try_element_at(spans, F.lit(j))["start"] > threshold

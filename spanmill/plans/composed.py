@@ -10,8 +10,10 @@ from spanmill.functions.arrays import power
 from spanmill.operators import catalog as ca
 from spanmill.operators import composed as co
 from spanmill.operators import splitting as sp
+from spanmill.operators import windows as wi
 from spanmill.operators.rules import Rule
 from spanmill.plans.inputs import BAND_SQL, EVENTS_SQL, HOP, JUDGED_SQL, SIZE, WAVES_SQL, event_sources, event_spans, judged, labels_sql, r6, rounded, table, timed_events, waves
+from spanmill.streaming import pace
 
 BLOCK, GAP = 1_296_000.0, 43_200.0
 FAR = 129_600.0
@@ -74,6 +76,30 @@ def degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", r6(power(F.col("degraded"))).alias("power"), r6(10 * F.log10(power(quiet))).alias("quiet_db"))
 
 
+def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan applied to waveforms: power and size of what comes out."""
+    w = waves(spark, sf_dir)
+    rows = w.join(w.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("noise")), "vec_id").withColumn("response", F.array(F.lit(1.0), F.lit(0.5)))
+    planned = co.augmentation_plan(rows, "vec_id", {"reverb": 0.3, "noise": 0.5, "band": 0.3, "volume": 0.4})
+    out = co.augmented(planned, "vec_id", "x", "response", "noise", 64.0)
+    return out.select("vec_id", F.array_join("applied", "+").alias("applied"), F.size("augmented").alias("samples"), r6(power(F.col("augmented"))).alias("power"))
+
+
+def stretch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = co.augmentation_plan(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", {"stretch": 1.1})
+    return rounded(co.stretch_report(rows, "stretch", 0.5, 2.0, (0.6, 0.8, 1.0, 1.4, 1.9)))
+
+
+def window_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wi.window_ranges(_window_set(spark, sf_dir).where("label > 0"))
+
+
+def ring_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.sum("l_quantity").alias("sample")).withColumn("pos", (F.col("l_linenumber") - 1).cast("long"))
+    out = pace.ring_read(rows, ["l_suppkey"], "pos", F.lit(5), 3, 4)
+    return out.select("l_suppkey", F.aggregate("window", F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
 def _level(batch):
     return [float(np.sqrt(np.mean(x**2)) * 40) for x in batch]
 
@@ -128,6 +154,10 @@ QUERIES = {
     "q_silence_relation": silence_relation,
     "q_augmentation_plan": augmentation_plan,
     "q_degraded": degraded,
+    "q_augmented": augmented,
+    "q_stretch_report": stretch_report,
+    "q_window_ranges": window_ranges,
+    "q_ring_read": ring_read,
     "q_evaluate": evaluate,
     "q_epoch_stats": epoch_stats,
     "q_emission_metrics": emission_metrics,
@@ -169,6 +199,11 @@ SELECT item_id, kind, duration, 0 AS units FROM u JOIN v ON v.k = floor(u * v.n)
   list_filter([{", ".join(f"CASE WHEN {_HU(n)} < {p} THEN '{n}' END" for n, p in (("stretch", 0.7), ("reverb", 0.3), ("noise", 0.5), ("volume", 0.4)))}], lambda x: x IS NOT NULL) AS s FROM customer)
 SELECT c_custkey, round(f, 6) AS stretch, array_to_string(s, '+') AS selected, CASE WHEN f < 0.8 AND list_contains(s, 'noise') THEN 'noise' ELSE '' END AS skipped,
   array_to_string(list_filter(s, lambda x: NOT (x = 'noise' AND f < 0.8)), '+') AS applied FROM c""",
+    "q_stretch_report": f"""WITH c AS (SELECT exp(ln(0.5) + {_HU("factor")} * ln(4.0)) AS f FROM customer)
+SELECT e::DOUBLE AS edge, round(avg((f < e::DOUBLE)::INT), 6) AS drawn, count(*) AS n, round(ln(e::DOUBLE / 0.5) / ln(4.0), 6) AS nominal FROM c, (VALUES (0.6), (0.8), (1.0), (1.4), (1.9)) t(e) GROUP BY e""",
+    "q_window_ranges": f'WITH {_SET} SELECT source_id, min(w) AS first, max(w) AS "last", count(*) AS n, max(w) - min(w) + 1 = count(*) AS gapless FROM ws WHERE label > 0 GROUP BY 1',
+    "q_ring_read": """WITH s AS (SELECT l_suppkey, l_linenumber - 1 AS p, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), m AS (SELECT *, max(p) OVER (PARTITION BY l_suppkey) AS l FROM s)
+SELECT l_suppkey, CASE WHEN count(*) FILTER (p BETWEEN 2 AND 4 AND p > l - 4) = 3 THEN sum(v) FILTER (p BETWEEN 2 AND 4) END AS total FROM m GROUP BY 1""",
     "q_evaluate": f"""WITH {WAVES_SQL}, s AS (SELECT label::DOUBLE AS truth, sqrt(list_sum(list_transform(x, lambda v: v * v)) / 64) * 40 AS pred, CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END AS parity FROM waves),
 g AS (SELECT *, parity AS scope FROM s UNION ALL SELECT *, 'pooled' FROM s)
 SELECT 'level' AS experiment_id, 'rms' AS method, 'dev_' || scope AS split, count(*) AS n, round(avg(abs(pred - truth)), 6) AS mae, round(avg(abs(pred - truth)) FILTER (truth < 4), 6) AS mae_under4, count(*) FILTER (truth >= 8) AS n_over8,

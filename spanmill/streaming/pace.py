@@ -64,6 +64,16 @@ def latest_window(samples: DataFrame, keys: Sequence[str], at: str, size: int, h
     return got.where(F.size("__w") == size).select(*keys, "end", F.col("__w.sample").alias("window"))
 
 
+def ring_read(samples: DataFrame, keys: Sequence[str], at: str, end: Column, size: int, held: int) -> DataFrame:
+    """Samples [end - size, end) of each key from a ring of the `held` newest positions: (keys, window), the window null
+    where part of it was never written or is overwritten already."""
+    last = samples.groupBy(*keys).agg(F.max(at).alias("__last"))
+    inside = (F.col(at) >= end - size) & (F.col(at) < end) & (F.col(at) > F.col("__last") - held)
+    marked = samples.join(last, list(keys)).withColumn("__s", F.when(inside, F.struct(F.col(at).alias("at"), F.col("sample").alias("sample"))))
+    got = marked.groupBy(*keys).agg(F.array_sort(F.collect_list("__s")).alias("__w"))
+    return got.select(*keys, F.when(F.size("__w") == size, F.col("__w.sample")).alias("window"))
+
+
 def remaining_text(ms: Column) -> Column:
     """m:ss, rounded up; over time +m:ss, rounded down."""
     over = ms < 0
