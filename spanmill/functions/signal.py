@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,15 +64,22 @@ def mel_filters(c: MelConfig = MEL) -> np.ndarray:
     return np.maximum(0, np.minimum(up, down))
 
 
+@functools.lru_cache(maxsize=4)
+def _hann(size: int) -> np.ndarray:
+    return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+
+
 def log_mel(x: np.ndarray, c: MelConfig = MEL) -> np.ndarray:
-    """(1 + n // hop, mels): reflected ends, periodic Hann window, power spectrum, ln(mel + offset)."""
+    """(1 + n // hop, mels): reflected ends, periodic Hann window, power spectrum, ln(mel + offset), in x's precision."""
+    if x.dtype not in (np.float32, np.float64):
+        x = x.astype(np.float64)
     if x.size <= c.size // 2:
         x = np.pad(x, (0, c.size // 2 + 1 - x.size))
-    padded = np.pad(x.astype(np.float64), c.size // 2, mode="reflect")
+    padded = np.pad(x, c.size // 2, mode="reflect")
     frames = np.lib.stride_tricks.sliding_window_view(padded, c.size)[:: c.hop]
-    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(c.size) / c.size)
-    power = np.abs(np.fft.rfft(frames * window, axis=1)) ** 2
-    return np.log(power @ mel_filters(c) + c.offset)
+    spectrum = np.fft.rfft(frames * _hann(c.size).astype(x.dtype), axis=1)
+    power = spectrum.real**2 + spectrum.imag**2
+    return np.log(power @ mel_filters(c).astype(power.dtype) + power.dtype.type(c.offset))
 
 
 def _butter(order: int, edges: tuple[float, float], rate: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -179,11 +187,18 @@ def ctc_loss(emission: np.ndarray, tokens: Sequence[int], blank: int) -> float:
 
 
 def log_mel_udf(c: MelConfig = MEL):
-    """samples -> array of frames of mels, a few rows of an Arrow batch at a time."""
-
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.FloatType())))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else [r.astype(np.float32) for r in log_mel(np.asarray(v, np.float64), c)])
+    """samples -> frames of mels. Arrow in and out: no Python object per frame or number."""
+
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.FloatType())))
+    def run(x: pa.Array) -> pa.Array:
+        lengths = x.value_lengths().fill_null(0).to_numpy()
+        flat, at = x.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lengths)))
+        known = x.is_valid().to_numpy(zero_copy_only=False)
+        rows = [log_mel(flat[a:b], c).astype(np.float32) if ok else np.empty((0, c.mels), np.float32) for a, b, ok in zip(at[:-1], at[1:], known, strict=True)]
+        frames = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+        numbers = np.concatenate(rows).ravel() if rows else np.empty(0, np.float32)
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(frames[-1] + 1, dtype=np.int32) * c.mels), pa.array(numbers))
+        return pa.ListArray.from_arrays(pa.array(frames), inner, mask=pa.array(~known))
 
     return run
 
