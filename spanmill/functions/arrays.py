@@ -55,7 +55,8 @@ def frame_rms(x: Column, size: int, hop: int) -> Column:
 def log_envelope(rms: Column, floor_db: float = -60.0) -> Column:
     """20 log10, not below floor_db under the maximum."""
     least = F.greatest(F.array_max(rms), F.lit(1e-10)) * 10 ** (floor_db / 20)
-    return let(least, lambda low: F.transform(rms, lambda v: 20 * F.log10(F.greatest(v, low))))
+    # The floor is an array of its own, not let(): Spark does not find a Python function over nested lambdas in its input.
+    return F.zip_with(rms, F.array_repeat(least, F.size(rms)), lambda v, low: 20 * F.log10(F.greatest(v, low)))
 
 
 def smoothed(x: Column, radius: int) -> Column:

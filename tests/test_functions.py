@@ -170,6 +170,16 @@ def test_log_mel_shape_and_tone():
     assert sg.log_mel(np.zeros(3)).shape[1] == 80
 
 
+def test_log_mel_of_pcm_bytes(spark):
+    x = (np.sin(np.arange(4000) * 0.3) * 20000).astype("<i2")
+    df = spark.createDataFrame([(bytearray(x.tobytes()), [float(v) / 32768 for v in x]), (None, None)], "pcm binary, x array<float>")
+    rows = df.select(sg.log_mel_pcm_udf()("pcm").alias("b"), sg.log_mel_udf()("x").alias("m")).collect()
+    got = np.frombuffer(bytes(rows[0]["b"]), np.float16).reshape(-1, 80)
+    assert got.shape == (26, 80)
+    assert np.allclose(got, np.array(rows[0]["m"]), atol=0.02)
+    assert (rows[1]["b"], rows[1]["m"]) == (None, None)
+
+
 def test_band_pass_keeps_the_band():
     rate, t = 100.0, np.arange(1000) / 100
     inside, outside = sg.band_pass(np.sin(2 * np.pi * 5 * t), 2, 10, rate), sg.band_pass(np.sin(2 * np.pi * 30 * t), 2, 10, rate)

@@ -21,7 +21,7 @@ def test_query_matches_its_oracle(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_oracle_gives_rows(spark, name):
     df = catalog.QUERIES[name](spark, f"{DATA}/{SF}")
-    assert df.count() > 0
+    assert df.collect()
     assert df.schema == catalog.QUERIES[name](spark, f"{DATA}/{SF}").schema
 
 
