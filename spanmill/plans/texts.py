@@ -16,7 +16,7 @@ LETTERS, READING = "aeioutsnhrd", "アエイオウャョーンッー"
 
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", "text", F.translate(F.regexp_replace(F.substring("text", 1, 400), f"[^{LETTERS}]", ""), LETTERS, READING).alias("kana"))
+    return docs.select("doc_id", "text", F.translate(F.regexp_replace("text", f"[^{LETTERS}]", ""), LETTERS, READING).alias("kana"))
 
 
 def unit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
