@@ -31,7 +31,7 @@ def op4_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels table rates a page by its id: good if of quality and not toxic."""
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
-    return urls.judge_urls(spark, _table(spark, sf_dir, "pages"), labels)
+    return urls.judge_urls(spark, _table(spark, sf_dir, "pages"), labels, depth=None)
 
 
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
