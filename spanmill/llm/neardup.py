@@ -252,26 +252,9 @@ def _more_links(classes: DataFrame, shared: DataFrame, labels: DataFrame, texts:
     return placed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolved, "a long, b long")
 
 
-def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of documents linked by a Jaccard similarity of at least 0.75 of their sets of 5-word shingles.
-
-    Words are maximal runs other than ASCII white space, A-Z lower-cased. A text of 1 to 4 words has one shingle, the
-    whole sequence; a null, empty or blank text has none, is linked with nothing and is its own component.
-
-    Returns a row per row of `docs`: doc_id, n_shingles, component_id (the least id reachable; null ids count last, and
-    the component of a linkless null id is null), kept (doc_id = component_id), and `row_key`, which tells rows of a
-    repeated id apart. Rows of a repeated id are documents of their own. Other columns are not read. An empty table
-    gives an empty result.
-
-    1. Documents with equal sets are one class (128-bit key); classes get min-max signatures and 32 bands.
-    2. Each class is paired with its buckets' centres: one pair a row, whatever the bucket's size. Sizes and two-bit
-       signatures rule pairs out; the rest are confirmed on full sets, computed anew from the texts, and confirmed
-       pairs make components.
-    3. Buckets that still hold several components are compared across these, so that a link between two members that
-       both differ from the centre is found; pairs are confirmed in the same way, inside the bucket, and only links
-       that join components leave it.
-    A link is lost only if all 32 bands differ (below 6e-6 at 0.75, less above) or by the signature test (below 1e-8).
-    """
+def _components(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed rows (n = 0: linked with nothing), the component of each set_key, and per component its least id,
+    `component`, and `first`, the one row (doc_id, k2) that stands for it: the least id, null last, then the least key."""
     staging = Staging(spark, "near_groups")
     parts = parts_for(spark, input_bytes(docs), PART_BYTES, factor=2)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("k2"), F.col(text_col).alias("text"))
@@ -282,6 +265,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         .agg(
             F.min("doc_id").alias("least"),
             F.min(F.struct("doc_id", "k2")).alias("rep"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k2")).alias("first"),
             F.first("n").alias("n"),
             F.first("bands").alias("bands"),
             F.first("bits").alias("bits"),
@@ -298,9 +282,33 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     if not found.isEmpty():
         labels = connected(staging, links.unionByName(found), "relabels")
     staging.drop("texts", "shared")
-    named = classes.select("set_key", "cid", "least").join(labels, F.col("cid") == F.col("id"), "left").withColumn("comp", F.coalesce("comp", "cid"))
-    heads = staging.write(named.groupBy("comp").agg(F.min("least").alias("component")), "heads")
-    named = named.join(heads, "comp").select("set_key", "component")
+    named = classes.select("set_key", "cid", "least", "first").join(labels, F.col("cid") == F.col("id"), "left").withColumn("comp", F.coalesce("comp", "cid"))
+    heads = staging.write(named.groupBy("comp").agg(F.min("least").alias("component"), F.min("first").alias("first")), "heads")
+    return signed, named.select("set_key", "comp"), heads
+
+
+def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Components of documents linked by a Jaccard similarity of at least 0.75 of their sets of 5-word shingles.
+
+    Words are maximal runs other than ASCII white space, A-Z lower-cased. A text of 1 to 4 words has one shingle, the
+    whole sequence; a null, empty or blank text has none, is linked with nothing and is its own component.
+
+    Returns a row per row of `docs`: doc_id, n_shingles, component_id (the least id reachable; null ids count last, and
+    the component of a linkless null id is null), kept (doc_id = component_id), and `row_key`, which tells rows of a
+    repeated id apart. Rows of a repeated id are documents of their own. Other columns are not read. An empty table
+    gives an empty result.
+
+    1. Documents with equal sets are one class (128-bit key); classes get min-max signatures and 32 bands.
+    2. Each class is paired with its buckets' centres: one pair a row, whatever the bucket's size. Sizes and two-bit
+       signatures rule pairs out; the rest are confirmed on full sets, computed anew from the texts, and confirmed
+       pairs make components.
+    3. Buckets that still hold several components are compared across these, so that a link between two members that
+       both differ from the centre is found; pairs are confirmed in the same way, inside the bucket, and only links
+       that join components leave it.
+    A link is lost only if all 32 bands differ (below 6e-6 at 0.75, less above) or by the signature test (below 1e-8).
+    """
+    signed, named, heads = _components(spark, docs, id_col, text_col)
+    named = named.join(heads.select("comp", "component"), "comp").select("set_key", "component")
     out = signed.select("doc_id", "k2", "n", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select(
@@ -309,10 +317,11 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stand for their component: that of the least id, all columns as they are.
+    """One row of `docs` for each component, all columns as they are: that of the least id, null ids last.
 
-    Of several texts under that id the one of the least row key stays. Groups without any id stay whole.
+    Of several texts under that id the one of the least row key stays. Rows without words are components of their own.
     """
-    groups = near_groups(spark, docs, id_col, text_col)
-    named = groups.where("kept").groupBy("doc_id").agg(F.min("row_key").alias("row_key"))
-    return keep_rows(docs, named.unionByName(groups.where("component_id is null").select("doc_id", "row_key")), id_col, text_col)
+    signed, _, heads = _components(spark, docs, id_col, text_col)
+    alone = signed.where("n = 0").select("doc_id", F.col("k2").alias("row_key")).distinct()
+    named = heads.select("first.doc_id", F.col("first.k2").alias("row_key"))
+    return keep_rows(docs, named.unionByName(alone), id_col, text_col)
