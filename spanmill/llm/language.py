@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -72,11 +72,13 @@ def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 @dataclass(frozen=True)
 class LanguageFilters:
-    """A slot holds a bit per language; an n-gram's languages are the AND of its slots."""
+    """A slot holds a bit per language; an n-gram's languages are the AND of its slots. Languages behind the 64th by name
+    are in `more`."""
 
     languages: tuple[str, ...]
     slots: np.ndarray
     false_rate: np.ndarray
+    more: LanguageFilters | None = None
 
 
 def _places(prints: np.ndarray) -> list[np.ndarray]:
@@ -104,18 +106,22 @@ def decide(filters: LanguageFilters, prints: np.ndarray, offset: np.ndarray, let
     rows, n = offset.size - 1, np.diff(offset)
     if not filters.languages:
         return [UNKNOWN] * rows, np.zeros(rows)
-    masks = filters.slots[_places(prints)[0]]
-    for place in _places(prints)[1:]:
-        masks = masks & filters.slots[place]
-    true = np.zeros((len(filters.languages), rows))
-    some = n > 0
-    for i, f in enumerate(filters.false_rate):
-        if some.any():
-            found = np.add.reduceat((masks >> masks.dtype.type(i)) & masks.dtype.type(1), offset[:-1][some], dtype=np.int64)
-            true[i, some] = (found - n[some] * f) / max(1 - f, 1e-9)
+    languages, true, some = [], [], n > 0
+    while filters:
+        masks = filters.slots[_places(prints)[0]]
+        for place in _places(prints)[1:]:
+            masks = masks & filters.slots[place]
+        for i, f in enumerate(filters.false_rate):
+            true.append(np.zeros(rows))
+            if some.any():
+                found = np.add.reduceat((masks >> masks.dtype.type(i)) & masks.dtype.type(1), offset[:-1][some], dtype=np.int64)
+                true[-1][some] = (found - n[some] * f) / max(1 - f, 1e-9)
+        languages += filters.languages
+        filters = filters.more
+    true = np.stack(true)
     best = true.argmax(axis=0)
     score = np.where(some, np.clip(true.max(axis=0) / np.maximum(n, 1), 0, 1), 0.0)
-    return [filters.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)], np.where(lettered, score, 0.0)
+    return [languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)], np.where(lettered, score, 0.0)
 
 
 def _counted(batches):
@@ -133,16 +139,12 @@ def _counted(batches):
 def fit_filters(spark: SparkSession, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, per_language: int = GRAMS_PER_LANGUAGE) -> LanguageFilters:
     """Fits from (id, lang, text) rows on a hash sample of about `sample_docs` a language, whatever the input's size.
 
-    What reaches the driver is at most `per_language` fingerprints for each of at most 64 languages.
+    What reaches the driver is at most `per_language` fingerprints for each language; 64 languages are one LanguageFilters.
     """
     labelled = labelled.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(65).collect()}
-    if len(counts) > 64:
-        raise ValueError("at most 64 languages")
-    cut = F.lit(0.0)
-    for language, n in counts.items():
-        cut = F.when(F.col("lang") == language, F.lit(min(1.0, sample_docs / n))).otherwise(cut)
-    sample = labelled.where(key_hash(F.lit("language"), F.col("id").cast("string")) / F.lit(float(1 << 52)) < cut)
+    share = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.count(F.lit(1))).alias("share"))
+    drawn = key_hash(F.lit("language"), F.col("id").cast("string")) / F.lit(float(1 << 52))
+    sample = labelled.join(F.broadcast(share), "lang").where(drawn < F.col("share"))
     # The sample is bounded, and so are the n-grams of a language in one window.
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     profiles = (
@@ -156,7 +158,12 @@ def fit_filters(spark: SparkSession, labelled: DataFrame, sample_docs: int = SAM
         .agg(F.collect_list("gram").alias("grams"))
         .collect()
     )
-    return build_filters({r["lang"]: np.array(r["grams"], np.int64).view(np.uint64) for r in profiles})
+    found = {r["lang"]: np.array(r["grams"], np.int64).view(np.uint64) for r in profiles}
+    names = sorted(found)
+    filters = None
+    for at in reversed(range(0, max(len(names), 1), 64)):
+        filters = replace(build_filters({x: found[x] for x in names[at : at + 64]}), more=filters)
+    return filters
 
 
 def _predicted(model):
@@ -176,7 +183,7 @@ def _predicted(model):
 def predict_languages(spark: SparkSession, rows: DataFrame, filters: LanguageFilters) -> DataFrame:
     """Adds lang_pred and score to (doc_id, held_out, text) rows and drops the text: a map without a shuffle.
 
-    The filters are broadcast: SLOTS slots of at most 8 bytes, whatever the data.
+    The filters are broadcast: SLOTS slots of at most 8 bytes for every 64 languages.
     """
     model = spark.sparkContext.broadcast(filters)
     return rows.select("doc_id", "held_out", "text").mapInArrow(_predicted(model), "doc_id long, held_out boolean, lang_pred string, score double")
