@@ -70,7 +70,7 @@ def augmentation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = waves(spark, sf_dir)
     response = F.array(F.lit(1.0), F.lit(0.5), F.lit(0.25))
-    noises = w.where("vec_id < 10").select(F.col("vec_id").alias("index"), F.col("x").alias("noise"))
+    noises = w.select(F.col("vec_id").alias("index"), F.col("x").alias("noise"))
     out = co.degraded(w.withColumn("response", response), noises, "vec_id", "x", "response", 10.0)
     quiet = co.quiet_noise(F.col("vec_id"), F.lit(32), F.lit(-40.0))
     return out.select("vec_id", r6(power(F.col("degraded"))).alias("power"), r6(10 * F.log10(power(quiet))).alias("quiet_db"))

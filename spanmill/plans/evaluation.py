@@ -65,7 +65,7 @@ def group_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = judged(spark, sf_dir).withColumn("bias", F.col("pred") - F.col("truth"))
-    return stats.joint_regression(rows, "bias", ["l_discount", "l_tax", "truth"], "l_suppkey", reps=100)
+    return stats.joint_regression(rows, "bias", ["l_discount", "l_tax", "truth"], "l_suppkey")
 
 
 def regression_coefs(spark: SparkSession, sf_dir: str) -> DataFrame:
