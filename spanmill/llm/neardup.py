@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanmill.llm.components import connected
-from spanmill.llm.shared import Staging, input_bytes, keep_rows, parts_for, row_key
+from spanmill.llm.shared import Staging, input_bytes, named, numbered, only, parts_for
 from spanmill.llm.textbytes import _PLACES, lower_ascii, mixed, run_prints, sliced, starts_of_runs, utf8, word_prints, words
 
 SHINGLE = 5
@@ -19,12 +19,17 @@ PERCENT = 75
 #: One permutation gives two values, the minimum and the maximum; a band is two permutations' four values.
 PERMUTATIONS = 64
 BANDS = 32
+#: Sets up to this size are found by their least shingles, exactly; the minimum and the maximum of larger sets agree
+#: nearly as independent values would: a band of a pair at similarity 0.75 with a chance of 0.305 or more, so that all
+#: bands differ with a chance below 9e-6.
+SMALL = 16
+#: The largest set that a small one can be linked with.
+SMALL_PARTNER = SMALL * 100 // PERCENT
 #: Candidates agree in at least this many of the 128 values' low two bits. At similarity 0.75 the mean is 104 and the
-#: deviation 4.4, so a link fails this with a chance below 1e-8.
+#: deviation 4.4, so a link fails this with a chance below 1e-8. Small sets, whose values are few, need not pass.
 LEAST_AGREEMENT = 78
-#: Bands of one pair at similarity 0.75 all differ with a chance of (1 - 0.75^4)^32 < 6e-6.
-#: Members of a bucket that are compared in one go; larger buckets are first split by a second band.
-BUCKET_ROWS = 512
+#: Members of a block of a bucket; blocks are compared in pairs. They grow with the root of the bucket's size.
+LEAST_BLOCK, MOST_BLOCK = 128, 8192
 PART_BYTES = 32 << 20
 #: Members that share one copy of a hot centre.
 SALT_ROWS = 256
@@ -78,21 +83,31 @@ def low_bits(values: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
+def prefix_keys(shingles: np.ndarray) -> np.ndarray:
+    """The least shingles of a sorted set of n, of which linked sets share one: n - ceil(0.75 n) + 1 of them."""
+    n = shingles.size
+    return mixed(shingles[: n + (-PERCENT * n) // 100 + 1] ^ _U(0x5851F42D4C957F2D)).view(np.int64)
+
+
 def _signed(batches):
+    """Rows (no, doc_id, text): the set's size, a key of its content, its buckets and its signature."""
     for whole in batches:
         for part in sliced(whole, "text"):
             shingles, at = shingle_sets(part.column(2))
             size = np.diff(at)
             some = np.flatnonzero(size)
             keys = [hashlib.blake2b(shingles[at[i] : at[i + 1]].tobytes(), digest_size=16).digest() if size[i] else None for i in range(size.size)]
-            bands, bits = [None] * size.size, [None] * size.size
+            buckets, bits = [None] * size.size, [None] * size.size
             if some.size:
                 values = min_max(shingles, np.concatenate((at[some], at[-1:])))
                 for i, b, s in zip(some.tolist(), band_keys(values), low_bits(values), strict=True):
-                    bands[i], bits[i] = b, s
+                    own = [b] if size[i] > SMALL else []
+                    if size[i] <= SMALL_PARTNER:
+                        own.append(prefix_keys(shingles[at[i] : at[i + 1]]))
+                    buckets[i], bits[i] = np.unique(np.concatenate(own)), s
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(size), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                ["doc_id", "k2", "n", "set_key", "bands", "bits"],
+                [part.column(0), part.column(1), pa.array(size), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                ["no", "doc_id", "n", "set_key", "buckets", "bits"],
             )
 
 
@@ -130,21 +145,14 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     bits = classes.select("cid", "n", *(F.get("bits", F.lit(i)).alias(f"s{i}") for i in range(4)))
     one = bits.select(F.col("cid").alias("a"), F.col("n").alias("na"), *(F.col(f"s{i}").alias(f"x{i}") for i in range(4)))
     two = bits.select(F.col("cid").alias("b"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"y{i}") for i in range(4)))
-    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT) & (agreement("x", "y") >= LEAST_AGREEMENT)
+    near = (agreement("x", "y") >= LEAST_AGREEMENT) | (F.least("na", "nb") <= SMALL)
+    near &= F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
     return pairs.join(one, "a").join(two, "b").where(near).select("a", "b")
 
 
-def _texts_of(docs: DataFrame, classes: DataFrame, cids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(cid, text) of the classes in `cids`, read again from the documents."""
-    wanted = classes.join(cids.distinct(), "cid", "left_semi").select(F.col("rep.doc_id").alias("__id"), F.col("rep.k2").alias("__k2"), "cid")
-    keyed = docs.select(F.col(id_col).cast("long").alias("__own"), row_key(id_col, text_col).alias("__key"), F.col(text_col).alias("text"))
-    joined = keyed.join(wanted, (F.col("__key") == F.col("__k2")) & F.col("__own").eqNullSafe(F.col("__id")))
-    return joined.select("cid", "text")
-
-
 def _links(staging: Staging, pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
-    """The pairs that are links on full sets. Each pair's members meet at its first, `a`; a hot `a` is copied to salts."""
-    pairs = staging.write(pairs, "pairs")
+    """The pairs (a, b) that are links on full sets. A pair's members meet at its first, `a`; a hot `a` is copied to
+    salts, and each `b` travels once a pair."""
     load = staging.write(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts")), "load")
     members = pairs.join(load, "a").select(F.col("a").alias("centre"), F.pmod(F.hash("b"), F.col("salts")).alias("salt"), F.lit(1).alias("role"), F.col("b").alias("cid"))
     centres = load.select(F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("cid"))
@@ -153,70 +161,54 @@ def _links(staging: Staging, pairs: DataFrame, texts: DataFrame, parts: int) ->
     return dealt.mapInArrow(_confirmed, "a long, b long")
 
 
-def _resolved(batches):
-    """Rows (bucket, salt, salts, own, comp, cid, n, s0..s3, text) in order of bucket: links between components.
-
-    Pairs of one bucket and two components that sizes and signatures do not rule out are confirmed on full sets, the
-    likeliest first. Components that a link joins count as one from then on, so that a bucket costs few tests where
-    most members belong together and gives at most a link a member. Two rows that are not the centre's own component
-    meet in every salt and are compared in one.
-    """
+def _compared(batches):
+    """Rows (bucket, i, j, side, comp, cid, n, s0..s3) in order of (bucket, i, j), a cell: the pairs of a cell's two
+    sides, or of its only one, in different components, that sizes and signatures do not rule out."""
     held: list[pa.RecordBatch] = []
-    bucket = None
+    cell = None
 
     def flush():
         rows = pa.concat_batches(held) if len(held) > 1 else held[0]
-        salt, salts, own, comp, cid, n = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(1, 7))
+        side, comp, cid, n = (rows.column(k).to_numpy() for k in range(3, 7))
         bits = np.stack([rows.column(k).to_numpy() for k in range(7, 11)], axis=1).view(np.uint64)
-        _, root = np.unique(comp, return_inverse=True)
-        sets: dict[int, np.ndarray] = {}
-        left, right = [], []
-
-        def shingles(i):
-            if i not in sets:
-                sets[i] = shingle_sets(rows.column(11).slice(i, 1))[0]
-            return sets[i]
-
-        for first in range(0, rows.num_rows, 256):
-            block = slice(first, min(first + 256, rows.num_rows))
-            x, y = bits[block, None], bits[None, :]
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1)
+        alone = cell[1] == cell[2] and not right.size
+        right = left if alone else right
+        for first in range(0, left.size, 256):
+            own = left[first : first + 256]
+            x, y = bits[own][:, None], bits[right][None, :]
             differ = [np.bitwise_count((x[..., k] ^ y[..., k]) | (x[..., k + 2] ^ y[..., k + 2])) for k in range(2)]
-            agree = 128 - differ[0].astype(np.int16) - differ[1].astype(np.int16)
-            near = (agree >= LEAST_AGREEMENT) & (root[block, None] != root[None, :]) & (cid[block, None] < cid[None, :])
-            near &= np.minimum(n[block, None], n[None, :]) * 100 >= PERCENT * np.maximum(n[block, None], n[None, :])
-            near &= own[block, None] | own[None, :] | ((cid[block, None] + cid[None, :]) % salts[block, None] == salt[block, None])
+            small, large = np.minimum(n[own][:, None], n[right][None, :]), np.maximum(n[own][:, None], n[right][None, :])
+            near = (128 - differ[0].astype(np.int16) - differ[1] >= LEAST_AGREEMENT) | (small <= SMALL)
+            near &= (small * 100 >= large * PERCENT) & (comp[own][:, None] != comp[right][None, :])
+            if alone:
+                near &= cid[own][:, None] < cid[right][None, :]
             i, j = np.nonzero(near)
-            order = np.argsort(-agree[i, j], kind="stable")
-            for a, b in zip((i[order] + first).tolist(), j[order].tolist(), strict=True):
-                if root[a] != root[b]:
-                    one, two = shingles(a), shingles(b)
-                    both = np.intersect1d(one, two, assume_unique=True).size
-                    if 100 * both >= PERCENT * (one.size + two.size - both):
-                        root[root == root[b]] = root[a]
-                        left.append(int(cid[a]))
-                        right.append(int(cid[b]))
-        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+            a, b = cid[own[i]], cid[right[j]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        keys = batch.column(0).to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+        edges = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), len(keys)]
         for first, last in zip(edges, edges[1:], strict=False):
-            if keys[first] != bucket and held:
-                yield flush()
+            here = tuple(keys[first].tolist())
+            if here != cell and held:
+                yield from flush()
                 held.clear()
-            bucket = keys[first]
+            cell = here
             held.append(batch.slice(first, last - first))
     if held:
-        yield flush()
+        yield from flush()
 
 
 def _shared_buckets(staging: Staging, classes: DataFrame) -> DataFrame:
     """(bucket, cid, a) of all buckets with several classes. `a` is the bucket's centre: the class with the most
     company over all its buckets (ties: the least cid), which in a family of near copies is the text that most of them
     were made from, so that one star joins the family."""
-    rows = classes.select("cid", F.explode("bands").alias("bucket"))
+    rows = classes.select("cid", F.explode("buckets").alias("bucket"))
     several = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = staging.write(rows.join(several, "bucket"), "several")
     company = shared.groupBy("cid").agg(F.sum("n").alias("company"))
@@ -227,64 +219,70 @@ def _shared_buckets(staging: Staging, classes: DataFrame) -> DataFrame:
     return out
 
 
-def _more_links(classes: DataFrame, shared: DataFrame, labels: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
-    """Links inside buckets that hold several components still, from `shared` rows (bucket, cid, a).
+def _across(staging: Staging, classes: DataFrame, shared: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
+    """Plausible pairs (a, b), a < b, of classes that share a bucket and are in different components still.
 
-    A bucket with over BUCKET_ROWS rows is split: the members of the centre's component are dealt to salts and the
-    others are copied to each; or, if the others are too many for that, all members are dealt by each of their other
-    bands, in which a pair of similarity 0.75 agrees at least once with chance 1 - 8e-6.
+    Of a bucket that holds several components, those of its centre's component and the others are dealt to blocks each;
+    each block of others meets each block of either in a cell of its own, so every pair with one of the others is seen,
+    no cell is large, and no member of the centre's component is compared with another. Only signatures travel.
     """
     comp = lambda name: labels.select(F.col("id").alias(f"__{name}"), F.col("comp").alias(f"comp_{name}"))
-    named = shared.join(comp("cid"), F.col("cid") == F.col("__cid"), "left").join(comp("a"), F.col("a") == F.col("__a"), "left")
-    named = named.select("bucket", "cid", F.coalesce("comp_cid", "cid").alias("comp"), F.coalesce("comp_a", "a").alias("comp_a"))
-    load = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("comp") != F.col("comp_a")).alias("others")).where("others > 0")
-    salts = F.ceil(F.col("rows") / BUCKET_ROWS).cast("int")
-    rows = named.join(load.withColumn("salts", salts), "bucket").withColumn("own", F.col("comp") == F.col("comp_a"))
-    by_salt = F.col("others") * F.col("salts") <= (BANDS - 1) * F.col("rows")
-    dealt = F.when(F.col("own"), F.array(F.pmod(F.hash("cid"), F.col("salts")))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
-    cols = ["bucket", "salt", "salts", "own", "comp", "cid"]
-    salted = rows.where(by_salt).withColumn("salt", F.explode(dealt)).withColumn("bucket", F.xxhash64("bucket", "salt")).select(*cols)
-    bands = classes.select("cid", F.explode("bands").alias("other"))
-    split = rows.where(~by_salt).join(bands, "cid").where("other != bucket").withColumn("bucket", F.xxhash64("bucket", "other"))
-    split = split.withColumn("salt", F.lit(0)).withColumn("salts", F.lit(1)).select(*cols)
+    joined = shared.join(comp("cid"), F.col("cid") == F.col("__cid"), "left").join(comp("a"), F.col("a") == F.col("__a"), "left")
+    mine = F.coalesce("comp_cid", "cid")
+    placed = staging.write(joined.select("bucket", "cid", mine.alias("comp"), (mine == F.coalesce("comp_a", "a")).alias("own")), "placed")
+    load = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("own")).alias("others")).where("others > 0")
+    block = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(4 * F.sqrt("rows"))))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    load = staging.write(load.select("bucket", blocks(F.col("others")).alias("g"), blocks(F.col("rows") - F.col("others")).alias("h")), "cells")
+    # Blocks 0..g-1 are the others', g..g+h-1 the centre's component's. Cell (i, j), i < g, i <= j: blocks i and j.
+    at = F.when(F.col("own"), F.col("g") + F.pmod(F.hash("cid"), F.col("h"))).otherwise(F.pmod(F.hash("cid"), F.col("g")))
+    rows = placed.join(load, "bucket").withColumn("at", at)
+    span = lambda first, last, made: F.when(first <= last, F.transform(F.sequence(first, last), made)).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
+    cell = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    ahead = span(F.col("at"), F.col("g") + F.col("h") - 1, lambda j: cell(F.col("at"), j, 0))
+    behind = span(F.lit(0), F.least(F.col("at"), F.col("g")) - 1, lambda i: cell(i, F.col("at"), 1))
+    cells = F.when(F.col("own"), behind).otherwise(F.concat(ahead, behind))
+    dealt = rows.select("bucket", "comp", "cid", F.explode(cells).alias("c")).select("bucket", "c.i", "c.j", "c.side", "comp", "cid")
     bits = classes.select("cid", "n", *(F.get("bits", F.lit(i)).alias(f"s{i}") for i in range(4)))
-    placed = salted.unionByName(split).join(bits, "cid").join(texts, "cid").select(*cols, "n", "s0", "s1", "s2", "s3", "text")
-    return placed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolved, "a long, b long")
+    dealt = dealt.join(bits, "cid").select("bucket", "i", "j", "side", "comp", "cid", "n", "s0", "s1", "s2", "s3")
+    keys = ["bucket", "i", "j"]
+    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_compared, "a long, b long").distinct()
 
 
-def _components(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The signed rows (n = 0: linked with nothing), the component of each set_key, and per component its least id,
-    `component`, and `first`, the one row (doc_id, k2) that stands for it: the least id, null last, then the least key."""
-    staging = Staging(spark, "near_groups")
-    parts = parts_for(spark, input_bytes(docs), PART_BYTES, factor=2)
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("k2"), F.col(text_col).alias("text"))
-    signed = staging.write(keyed.mapInArrow(_signed, "doc_id long, k2 long, n long, set_key binary, bands array<long>, bits array<long>"), "signed")
+def _components(spark: SparkSession, staging: Staging, rows: DataFrame, size: int | None) -> tuple[DataFrame, DataFrame]:
+    """From (no, doc_id, text): the signed rows (n = 0: linked with nothing), and for each set_key its component: `component`,
+    its least id, and `first`, the number of the one row that stands for it: of the least id, null last, then the first."""
+    parts = parts_for(spark, size, PART_BYTES, factor=2)
+    signed = staging.write(rows.mapInArrow(_signed, "no long, doc_id long, n long, set_key binary, buckets array<long>, bits array<long>"), "signed")
     classes = (
         signed.where("n > 0")
         .groupBy("set_key")
         .agg(
+            F.min("no").alias("cid"),
             F.min("doc_id").alias("least"),
-            F.min(F.struct("doc_id", "k2")).alias("rep"),
-            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k2")).alias("first"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "no")).alias("first"),
             F.first("n").alias("n"),
-            F.first("bands").alias("bands"),
+            F.first("buckets").alias("buckets"),
             F.first("bits").alias("bits"),
         )
-        .withColumn("cid", F.monotonically_increasing_id())
     )
     classes = staging.write(classes, "classes")
     shared = _shared_buckets(staging, classes)
-    texts = staging.write(_texts_of(docs, classes, shared.select("cid"), id_col, text_col), "texts")
-    pairs = shared.where("cid != a").select("a", F.col("cid").alias("b")).distinct()
-    links = staging.write(_links(staging, _plausible(pairs, classes), texts, parts), "links")
-    labels = connected(staging, links, "labels")
-    found = staging.write(_more_links(classes, shared, labels, texts, parts), "more")
-    if not found.isEmpty():
-        labels = connected(staging, links.unionByName(found), "relabels")
-    staging.drop("texts", "shared")
-    named = classes.select("set_key", "cid", "least", "first").join(labels, F.col("cid") == F.col("id"), "left").withColumn("comp", F.coalesce("comp", "cid"))
-    heads = staging.write(named.groupBy("comp").agg(F.min("least").alias("component"), F.min("first").alias("first")), "heads")
-    return signed, named.select("set_key", "comp"), heads
+    wanted = shared.select(F.col("cid").alias("no")).distinct()
+    texts = staging.write(rows.join(wanted, "no", "left_semi").select(F.col("no").alias("cid"), "text"), "texts")
+    stars = shared.where("cid != a").select("a", F.col("cid").alias("b")).distinct()
+    links = staging.write(_links(staging, staging.write(_plausible(stars, classes), "stars"), texts, parts), "links")
+    labels = staging.write(connected(staging, links, "labels"), "labels")
+    pairs = staging.write(_across(staging, classes, shared, labels, parts), "pairs")
+    if not pairs.isEmpty():
+        found = staging.write(_links(staging, pairs, texts, parts), "found")
+        if not found.isEmpty():
+            labels = staging.write(connected(staging, links.unionByName(found), "relabels"), "relabels")
+    staging.drop("texts", "shared", "placed", "pairs", "stars")
+    comps = classes.select("set_key", "cid", "least", "first").join(labels, F.col("cid") == F.col("id"), "left").withColumn("comp", F.coalesce("comp", "cid"))
+    comps = staging.write(comps.select("set_key", "comp", "least", "first"), "comps")
+    heads = staging.write(comps.groupBy("comp").agg(F.min("least").alias("component"), F.min("first")["no"].alias("first")), "heads")
+    return signed, staging.write(comps.select("set_key", "comp").join(heads, "comp").select("set_key", "component", "first"), "named")
 
 
 def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,34 +292,37 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     whole sequence; a null, empty or blank text has none, is linked with nothing and is its own component.
 
     Returns a row per row of `docs`: doc_id, n_shingles, component_id (the least id reachable; null ids count last, and
-    the component of a linkless null id is null), kept (doc_id = component_id), and `row_key`, which tells rows of a
-    repeated id apart. Rows of a repeated id are documents of their own. Other columns are not read. An empty table
-    gives an empty result.
+    the component of a linkless null id is null) and kept (doc_id = component_id). Rows of a repeated id are documents
+    of their own. Other columns are not read. An empty table gives an empty result.
 
-    1. Documents with equal sets are one class (128-bit key); classes get min-max signatures and 32 bands.
+    1. Documents with equal sets are one class (128-bit key); classes get min-max signatures and 32 bands, or, if small,
+       the buckets of their least shingles, of which linked sets share one for certain.
     2. Each class is paired with its buckets' centres: one pair a row, whatever the bucket's size. Sizes and two-bit
        signatures rule pairs out; the rest are confirmed on full sets, computed anew from the texts, and confirmed
        pairs make components.
-    3. Buckets that still hold several components are compared across these, so that a link between two members that
-       both differ from the centre is found; pairs are confirmed in the same way, inside the bucket, and only links
-       that join components leave it.
-    A link is lost only if all 32 bands differ (below 6e-6 at 0.75, less above) or by the signature test (below 1e-8).
+    3. Buckets that still hold several components are compared across these by signature, in cells of bounded size, so
+       that a link between two members that both differ from the centre is found; pairs are confirmed in the same way.
+    A link of sets over 16 shingles is lost only if all 32 bands differ (below 9e-6 at 0.75, less above) or by the
+    signature test (below 1e-8); one of a smaller set never is.
     """
-    signed, named, heads = _components(spark, docs, id_col, text_col)
-    named = named.join(heads.select("comp", "component"), "comp").select("set_key", "component")
-    out = signed.select("doc_id", "k2", "n", "set_key").join(named, "set_key", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.col("k2").alias("row_key")
-    )
+    staging = Staging(spark, "near_groups")
+    rows, _ = numbered(staging, docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")))
+    signed, components = _components(spark, staging, rows.select(F.col("__no").alias("no"), "doc_id", "text"), input_bytes(docs))
+    staging.drop("rows")
+    linked = signed.where("n > 0").select("doc_id", "n", "set_key").join(components, "set_key").select("doc_id", "n", "component")
+    out = linked.unionByName(signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of `docs` for each component, all columns as they are: that of the least id, null ids last.
 
-    Of several texts under that id the one of the least row key stays. Rows without words are components of their own.
+    Of several rows under that id the first as read stays. Rows without words are components of their own and stay. An
+    empty table gives an empty result.
     """
-    signed, _, heads = _components(spark, docs, id_col, text_col)
-    alone = signed.where("n = 0").select("doc_id", F.col("k2").alias("row_key")).distinct()
-    named = heads.select("first.doc_id", F.col("first.k2").alias("row_key"))
-    return keep_rows(docs, named.unionByName(alone), id_col, text_col)
+    staging = Staging(spark, "keep_representatives")
+    rows, no = numbered(staging, docs)
+    texts = rows.select(F.col(no).alias("no"), named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
+    signed, components = _components(spark, staging, texts, input_bytes(docs))
+    kept = components.select(F.col("first").alias("no")).distinct().unionByName(signed.where("n = 0").select("no"))
+    return only(rows, no, kept)

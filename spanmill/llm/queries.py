@@ -24,14 +24,12 @@ def op2_bloom_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.byte_shards(spark, _table(spark, sf_dir, "documents"), shards=16)
-    return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labels table rates a page by its id: good if of quality and not toxic."""
-    good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
-    return urls.judge_urls(spark, _table(spark, sf_dir, "pages"), labels, depth=None)
+    """No table labels pages (labels rates documents), so the pages that a rule fits are the labelled ones."""
+    return urls.judge_urls(spark, _table(spark, sf_dir, "pages"))
 
 
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +42,7 @@ def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minmax_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_groups(spark, _table(spark, sf_dir, "documents")).drop("row_key")
+    return neardup.near_groups(spark, _table(spark, sf_dir, "documents"))
 
 
 def op8_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +50,7 @@ def op8_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_groups(spark, _table(spark, sf_dir, "documents")).drop("row_key")
+    return exact.exact_groups(spark, _table(spark, sf_dir, "documents"))
 
 
 def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +83,13 @@ _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+#: Levels of the tree in SQL, which has no loop over them: as many as the paths of the small tables have, and more.
+_SQL_DEPTH = 6
+
+
 def _templates_sql() -> str:
     """The path-template tree level by level: generalising downwards, merging siblings upwards."""
-    out, depth = [], urls.DEPTH
+    out, depth = [], _SQL_DEPTH
     for d in range(1, depth + 1):
         out.append(f"""
 kid{d} AS (SELECT host, leaf[1 : {d - 1}] AS pre, leaf[{d}] AS at_, sum(n) AS n FROM base{d - 1} WHERE len(leaf) >= {d} GROUP BY ALL),
@@ -113,6 +115,8 @@ def _rules_sql() -> str:
     return "CASE " + " ".join(fits.format(r.host, r.path, r.text) for r in sorted(urls.RULES, key=lambda r: -len(r.text))) + " END"
 
 
+_ALLOWING = ", ".join(f"'{r.text}'" for r in urls.RULES if r.verdict == "allow")
+
 ORACLES = {
     "op4_path_templates": f"""
 WITH seen AS (
@@ -120,9 +124,8 @@ WITH seen AS (
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 coded AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s != ''), lambda s:
     CASE WHEN regexp_full_match(s, '[0-9a-fA-F-]{{8,}}') AND regexp_matches(s, '[0-9]') THEN '*' ELSE regexp_replace(s, '[0-9]+', '*', 'g') END) AS c FROM seen),
-parsed AS (SELECT page_id, host, path, CASE WHEN len(c) > {urls.DEPTH} THEN c[1 : {urls.DEPTH}] || ['**'] ELSE c END AS segs FROM coded),
-marks AS (SELECT doc_id AS page_id, min((quality = 1 AND toxic = 0)::INT) AS good FROM labels GROUP BY 1),
-base0 AS (SELECT host, segs, segs AS leaf, count(*) AS n, count(*) FILTER (good = 1) AS good, count(*) FILTER (good = 0) AS bad FROM parsed LEFT JOIN marks USING (page_id) GROUP BY 1, 2),
+parsed AS (SELECT page_id, host, path, c AS segs, {_rules_sql()} AS rule FROM coded),
+base0 AS (SELECT host, segs, segs AS leaf, count(*) AS n, count(*) FILTER (rule IN ({_ALLOWING})) AS good, count(*) FILTER (rule NOT IN ({_ALLOWING})) AS bad FROM parsed GROUP BY 1, 2),
 {_templates_sql()},
 sums AS (SELECT host, template, sum(good) AS good, sum(bad) AS bad FROM merge0 GROUP BY 1, 2),
 hosts AS (SELECT host, sum(good) AS g, sum(bad) AS b FROM sums GROUP BY 1),
@@ -130,8 +133,8 @@ overall AS (SELECT coalesce(sum(g)::DOUBLE / nullif(sum(g) + sum(b), 0), 0.5) AS
 prior AS (SELECT host, (g + {urls.SMOOTHING} * rate) / (g + b + {urls.SMOOTHING}) AS prior FROM hosts, overall),
 judged AS (SELECT m.host, m.leaf, '/' || array_to_string(m.template, '/') AS template, (s.good + {urls.SMOOTHING} * prior) / (s.good + s.bad + {urls.SMOOTHING}) AS purity
   FROM merge0 m JOIN sums s USING (host, template) JOIN prior USING (host)),
-final AS (SELECT page_id, host, path, {_rules_sql()} AS rule, template, purity FROM parsed JOIN (SELECT host, segs, leaf FROM base{urls.DEPTH}) USING (host, segs) JOIN judged USING (host, leaf))
-SELECT page_id, host, path, rule, CASE WHEN rule IN ({", ".join(f"'{r.text}'" for r in urls.RULES if r.verdict == "allow")}) THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+final AS (SELECT page_id, host, path, rule, template, purity FROM parsed JOIN (SELECT host, segs, leaf FROM base{_SQL_DEPTH}) USING (host, segs) JOIN judged USING (host, leaf))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ({_ALLOWING}) THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
   WHEN purity >= {urls.LEAST_PURITY} THEN 'allow' ELSE 'block' END AS verdict, template, round(purity, 6) AS purity FROM final""",
     "op3_byte_shards": f"""
 WITH {_CRC},
@@ -157,16 +160,16 @@ pmf AS (SELECT source, k, p0 * exp(sum(ln(mean / split / k)) OVER (PARTITION BY
 cdf AS (SELECT source, list(p0 + s ORDER BY k) AS c, any_value(p0) AS p0
         FROM (SELECT source, k, p0, sum(p) OVER (PARTITION BY source ORDER BY k) AS s FROM pmf) GROUP BY 1),
 draws AS (
-  SELECT d.doc_id, d.source, m.mean, unnest(range(m.split)) AS j FROM documents d JOIN parts m ON d.source IS NOT DISTINCT FROM m.source),
+  SELECT d.doc_id, md5(coalesce(d.text, '')) AS h, d.source, m.mean, unnest(range(m.split)) AS j FROM documents d JOIN parts m ON d.source IS NOT DISTINCT FROM m.source),
 drawn AS (
-  SELECT doc_id, source, mean, j, ('0x' || substr(md5('draw7:' || j || ':' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM draws),
+  SELECT doc_id, h, source, mean, j, ('0x' || substr(md5('draw7:' || j || ':' || coalesce(doc_id::VARCHAR, '') || ':' || h), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM draws),
 parted AS (
-  SELECT r.doc_id, r.source, r.mean, r.j, (r.u >= c.p0)::INT + len(list_filter(c.c[1:95], lambda x: x <= r.u)) AS n
+  SELECT r.doc_id, r.h, r.source, r.mean, r.j, (r.u >= c.p0)::INT + len(list_filter(c.c[1:95], lambda x: x <= r.u)) AS n
   FROM drawn r JOIN cdf c ON r.source IS NOT DISTINCT FROM c.source),
-counted AS (SELECT doc_id, source, mean, sum(n) AS n FROM parted GROUP BY ALL),
-copies AS (SELECT doc_id, source, mean, unnest(range(n::BIGINT))::INT AS mix_copy FROM counted)
+counted AS (SELECT doc_id, h, source, mean, sum(n) AS n FROM parted GROUP BY ALL),
+copies AS (SELECT doc_id, h, source, mean, unnest(range(n::BIGINT))::INT AS mix_copy FROM counted)
 SELECT doc_id, source, mix_copy,
-  ('0x' || substr(md5('order7:' || coalesce(doc_id::VARCHAR, '') || ':' || mix_copy), 1, 13))::BIGINT AS mix_key, round(mean, 9) AS mix_mean
+  ('0x' || substr(md5('order7:' || coalesce(doc_id::VARCHAR, '') || ':' || h || ':' || mix_copy), 1, 13))::BIGINT AS mix_key, round(mean, 9) AS mix_mean
 FROM copies""",
     "op9_exact_groups": """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)

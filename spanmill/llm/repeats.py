@@ -10,8 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmill.llm.exact import NO_ID
-from spanmill.llm.shared import MOST_PARTS, Staging, input_bytes, parts_for, row_key
+from spanmill.llm.shared import MOST_PARTS, Staging, input_bytes, named, numbered, parts_for
 from spanmill.llm.textbytes import mixed, run_prints, sliced, starts_of_runs, utf8, word_prints, words
 
 WINDOW = 35
@@ -22,6 +21,8 @@ FLUSH_BYTES = 8 << 20
 BUCKET_BYTES = 24 << 20
 #: Raw bytes of super-k-mers for a byte of (compressed) input, for sizing only.
 SWELL = 6
+#: Raw bytes of a bucket that are counted in one go; the windows of a larger one are counted by a grouping of their own.
+HEAVY_BYTES = 4 * BUCKET_BYTES
 #: Buckets of a partition are counted one after the other, so that there may be more buckets than partitions.
 MOST_BUCKETS = 1 << 22
 _U = np.uint64
@@ -78,7 +79,7 @@ def _packed(buckets: int):
     def flush(held):
         squeeze = zstandard.ZstdCompressor(level=3)
         raw = b"".join(h["raw"] for h in held)
-        col = {k: np.concatenate([h[k] for h in held]) for k in ("from", "to", "least", "r0", "r1", "k1", "k2", "pos")}
+        col = {k: np.concatenate([h[k] for h in held]) for k in ("from", "to", "least", "r0", "r1", "no", "pos")}
         order = np.lexsort((col["r1"], col["r0"]))
         new = np.ones(order.size, bool)
         new[1:] = (np.diff(col["r0"][order]) != 0) | (np.diff(col["r1"][order]) != 0)
@@ -95,13 +96,14 @@ def _packed(buckets: int):
         names, blobs = [], []
         for b in np.flatnonzero(np.diff(group_edge)).tolist():
             own, refs = lead[by_group[group_edge[b] : group_edge[b + 1]]], by_ref[ref_edge[b] : ref_edge[b + 1]]
+            # By their order of coming, numbers ascend in small steps, which pack well.
+            numbers = col["no"][refs]
             parts = [
                 np.array([own.size, refs.size], np.int64),
                 (col["to"][own] - col["from"][own]).astype(np.int64),
                 local[group[refs]],
                 col["pos"][refs],
-                col["k1"][refs],
-                col["k2"][refs],
+                np.diff(numbers, prepend=0),
             ]
             text = b"".join(raw[x:y] for x, y in zip(col["from"][own].tolist(), col["to"][own].tolist(), strict=True))
             names.append(b)
@@ -111,14 +113,13 @@ def _packed(buckets: int):
     def run(batches):
         held, size = [], 0
         for whole in batches:
-            k1, k2 = whole.column(0).to_numpy(), whole.column(1).to_numpy()
+            no = whole.column(0).to_numpy()
             done = 0
             for part in sliced(whole, "text"):
-                data, at = utf8(part.column(2))
+                data, at = utf8(part.column(1))
                 found = super_kmers(data, at)
                 if found:
-                    rows = found.pop("row") + done
-                    found |= {"k1": k1[rows], "k2": k2[rows], "raw": data.tobytes()}
+                    found |= {"no": no[found.pop("row") + done], "raw": data.tobytes()}
                     found["from"], found["to"] = found["from"] + size, found["to"] + size
                     held.append(found)
                     size += data.size
@@ -132,60 +133,124 @@ def _packed(buckets: int):
     return run
 
 
-def _counted(batches):
-    """Rows (bucket, blob) in order of bucket: covered word ranges (k1, k2, start, end) of windows that begin at two
-    places or more. A bucket's windows are sorted by their fingerprints (128 bits)."""
-    spread = zstandard.ZstdDecompressor()
-    bucket, held = None, []
-
-    def unpacked(blob):
-        raw = spread.decompress(blob)
-        n, m = np.frombuffer(raw, np.int64, 2).tolist()
-        ints = np.frombuffer(raw, np.int64, n + 4 * m, 16)
-        data = np.frombuffer(raw, np.uint8, offset=16 + 8 * (n + 4 * m))
-        starts, ends, word_at = words(data, np.concatenate(([0], np.cumsum(ints[:n]))))
-        begin = starts_of_runs(word_at, WINDOW)
-        prints = [window_prints(word_prints(data, starts, ends, k), k)[begin] for k in (0, 1)]
-        return prints, np.diff(word_at) - WINDOW + 1, ints[n:].reshape(4, m).copy()
-
-    def flush():
-        parts = [unpacked(b) for b in held]
-        f0, f1 = (np.concatenate([p[0][k] for p in parts]) for k in (0, 1))
-        per = np.concatenate([p[1] for p in parts])
-        shift = np.cumsum([0, *(p[1].size for p in parts)])
-        group, pos, k1, k2 = (np.concatenate([p[2][i] + (shift[j] if i == 0 else 0) for j, p in enumerate(parts)]) for i in range(4))
-        order = np.lexsort((f1, f0))
-        same = (np.diff(f0[order]) == 0) & (np.diff(f1[order]) == 0)
-        repeated = np.zeros(f0.size, bool)
-        repeated[order[1:][same]] = True
-        repeated[order[:-1][same]] = True
-        owner = np.repeat(np.arange(per.size), per)
-        repeated |= (np.bincount(group, minlength=per.size) > 1)[owner]
-        place = np.arange(owner.size) - np.repeat(np.cumsum(per) - per, per)
-        # Ranges of consecutive repeated windows of one super-k-mer.
-        opens = repeated & ((place == 0) | ~np.concatenate(([False], repeated[:-1])))
-        closes = repeated & (np.concatenate((place[1:] == 0, [True])) | ~np.concatenate((repeated[1:], [False])))
-        first, last, whose = place[opens], place[closes], owner[opens]
-        count = np.bincount(whose, minlength=per.size)
-        edge = np.cumsum(count) - count
-        times = count[group]
-        ref = np.repeat(np.arange(group.size), times)
-        which = np.arange(ref.size) - np.repeat(np.cumsum(times) - times, times) + edge[group[ref]]
-        for at in range(0, ref.size, 100_000):
-            r, w = ref[at : at + 100_000], which[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k1[r]), pa.array(k2[r]), pa.array(pos[r] + first[w]), pa.array(pos[r] + last[w] + WINDOW)], ["k1", "k2", "start", "end"]
-            )
-
-    for batch in batches:
-        for name, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if name != bucket and held:
-                yield from flush()
-                held.clear()
-            bucket = name
-            held.append(blob.as_py())
-    if held:
-        yield from flush()
+#: What counting gives: a covered word range of a row; or, of a bucket too large to count in one go, a super-k-mer: its
+#: number, its windows' fingerprints and its places.
+_FOUND = "no long, start long, end long, kmer long, prints array<struct<f0:long,f1:long>>, places array<struct<no:long,pos:long>>"
+
+
+def _unpacked(blob: bytes):
+    """Of the super-k-mers of one blob: their windows' two fingerprints, windows of each, and the places' super-k-mer,
+    first word and row number."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, m = np.frombuffer(raw, np.int64, 2).tolist()
+    ints = np.frombuffer(raw, np.int64, n + 3 * m, 16)
+    data = np.frombuffer(raw, np.uint8, offset=16 + 8 * (n + 3 * m))
+    starts, ends, word_at = words(data, np.concatenate(([0], np.cumsum(ints[:n]))))
+    begin = starts_of_runs(word_at, WINDOW)
+    prints = [window_prints(word_prints(data, starts, ends, k), k)[begin] for k in (0, 1)]
+    group, pos, steps = ints[n:].reshape(3, m)
+    return prints, np.diff(word_at) - WINDOW + 1, group, pos, np.cumsum(steps)
+
+
+def _as_found(rows: int, **given) -> pa.RecordBatch:
+    kinds = {"no": pa.int64(), "start": pa.int64(), "end": pa.int64(), "kmer": pa.int64()}
+    pair = lambda a, b: pa.list_(pa.struct([(a, pa.int64()), (b, pa.int64())]))
+    kinds |= {"prints": pair("f0", "f1"), "places": pair("no", "pos")}
+    return pa.RecordBatch.from_arrays([given.get(k, pa.nulls(rows, kind)) for k, kind in kinds.items()], list(kinds))
+
+
+def _ranges(parts):
+    """The ranges of all windows of a bucket's blobs that begin at two places or more. The windows are sorted by their
+    fingerprints (128 bits)."""
+    f0, f1 = (np.concatenate([p[0][k] for p in parts]) for k in (0, 1))
+    per = np.concatenate([p[1] for p in parts])
+    shift = np.cumsum([0, *(p[1].size for p in parts)])
+    group = np.concatenate([p[2] + shift[j] for j, p in enumerate(parts)])
+    pos, no = (np.concatenate([p[i] for p in parts]) for i in (3, 4))
+    order = np.lexsort((f1, f0))
+    same = (np.diff(f0[order]) == 0) & (np.diff(f1[order]) == 0)
+    repeated = np.zeros(f0.size, bool)
+    repeated[order[1:][same]] = True
+    repeated[order[:-1][same]] = True
+    owner = np.repeat(np.arange(per.size), per)
+    repeated |= (np.bincount(group, minlength=per.size) > 1)[owner]
+    place = np.arange(owner.size) - np.repeat(np.cumsum(per) - per, per)
+    # Ranges of consecutive repeated windows of one super-k-mer.
+    opens = repeated & ((place == 0) | ~np.concatenate(([False], repeated[:-1])))
+    closes = repeated & (np.concatenate((place[1:] == 0, [True])) | ~np.concatenate((repeated[1:], [False])))
+    first, last, whose = place[opens], place[closes], owner[opens]
+    count = np.bincount(whose, minlength=per.size)
+    edge = np.cumsum(count) - count
+    times = count[group]
+    ref = np.repeat(np.arange(group.size), times)
+    which = np.arange(ref.size) - np.repeat(np.cumsum(times) - times, times) + edge[group[ref]]
+    for at in range(0, ref.size, 100_000):
+        r, w = ref[at : at + 100_000], which[at : at + 100_000]
+        yield _as_found(r.size, no=pa.array(no[r]), start=pa.array(pos[r] + first[w]), end=pa.array(pos[r] + last[w] + WINDOW))
+
+
+def _super_kmer_rows(part, number: int) -> pa.RecordBatch:
+    """The super-k-mers of one blob as rows, numbered from `number` on."""
+    prints, per, group, pos, no = part
+    order = np.argsort(group, kind="stable")
+    lists = lambda counts: pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+    windows = pa.StructArray.from_arrays([pa.array(p.view(np.int64)) for p in prints], ["f0", "f1"])
+    places = pa.StructArray.from_arrays([pa.array(no[order]), pa.array(pos[order])], ["no", "pos"])
+    return _as_found(
+        per.size,
+        kmer=pa.array(number + np.arange(per.size)),
+        prints=pa.ListArray.from_arrays(lists(per), windows),
+        places=pa.ListArray.from_arrays(lists(np.bincount(group, minlength=per.size)), places),
+    )
+
+
+def _counted(heavy: int):
+    """Rows (bucket, blob) in order of bucket to _FOUND. A bucket is held until it is whole or `heavy` bytes are reached;
+    a heavier one is passed on blob by blob, as super-k-mers."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 40
+        bucket, held, size, passed = None, [], 0, False
+        for batch in batches:
+            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if name != bucket:
+                    if held:
+                        yield from _ranges(held)
+                    bucket, held, size, passed = name, [], 0, False
+                part = _unpacked(blob.as_py())
+                held.append(part)
+                size += 16 * part[0][0].size + 24 * part[2].size
+                passed |= size > heavy
+                for one in held if passed else ():
+                    yield _super_kmer_rows(one, number)
+                    number += one[1].size
+                held = [] if passed else held
+        if held:
+            yield from _ranges(held)
+
+    return run
+
+
+def _heavy_ranges(staging: Staging, found: DataFrame) -> DataFrame:
+    """(no, start, end) of the repeated windows among the super-k-mers that counting passed on.
+
+    Windows are grouped by fingerprint, with partial sums, and the repeated ones joined back, so that a window that very
+    many super-k-mers have costs no task their number; places are only looked at once per super-k-mer.
+    """
+    kmers = found.where("kmer is not null")
+    windows = kmers.select("kmer", (F.size("places") > 1).alias("many"), F.posexplode("prints").alias("at", "f")).select("kmer", "many", "at", "f.f0", "f.f1")
+    counts = windows.groupBy("f0", "f1").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = staging.write(counts, "repeated")
+    again = windows.where("not many").join(counts, ["f0", "f1"]).select("kmer", "at").unionByName(windows.where("many").select("kmer", "at"))
+    runs = again.groupBy("kmer").agg(F.array_sort(F.collect_list("at")).alias("ats"))
+    first = F.array_except("ats", F.transform("ats", lambda x: x + 1))
+    last = F.array_except("ats", F.transform("ats", lambda x: x - 1))
+    runs = runs.select("kmer", F.arrays_zip(first.alias("first"), last.alias("last")).alias("runs"))
+    spans = kmers.select("kmer", "places").join(runs, "kmer").select(F.explode("places").alias("p"), "runs")
+    spans = spans.select("p.*", F.explode("runs").alias("r"))
+    return spans.select("no", (F.col("pos") + F.col("r.first")).alias("start"), (F.col("pos") + F.col("r.last") + WINDOW).alias("end"))
 
 
 def cut_words(data: np.ndarray, at: np.ndarray, ranges: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -243,19 +308,16 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     Consecutive windows with one minimiser (the least fingerprint of 5-word grams) travel once, as one packed string,
     to the bucket of that minimiser; equal windows have equal minimisers, so a bucket sees all of a window's places.
     Equal super-k-mers of a mapper's flush travel once, so that a hot passage costs a bucket its places, not its texts.
+    A bucket of more than HEAVY_BYTES streams through its task, and its windows are counted by a grouping of fingerprints.
     """
     staging = Staging(spark, "remove_repeats")
     buckets = parts_for(spark, input_bytes(docs), BUCKET_BYTES, factor=SWELL, most=MOST_BUCKETS)
     parts = min(buckets, MOST_PARTS)
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k1"), row_key(id_col, text_col).alias("k2"), F.col(text_col).alias("text"))
-    packed = keyed.mapInArrow(_packed(buckets), "bucket int, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = packed.mapInArrow(_counted, "k1 long, k2 long, start long, end long")
-    ranges = staging.write(found, "ranges").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k1"),
-        row_key(id_col, text_col).alias("k2"),
-        F.col(text_col).alias("text"),
-    )
-    joined = rows.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "ranges")
+    rows, _ = numbered(staging, docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")))
+    rows = rows.select(F.col("__no").alias("no"), "doc_id", "text")
+    packed = rows.select("no", "text").mapInArrow(_packed(buckets), "bucket int, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    found = staging.write(packed.mapInArrow(_counted(HEAVY_BYTES), _FOUND), "found")
+    ranges = found.where("kmer is null").select("no", "start", "end").unionByName(_heavy_ranges(staging, found))
+    ranges = ranges.groupBy("no").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    joined = rows.join(ranges, "no", "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(_cut(not digest), f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept_text'} string")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import uuid
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanmill.workers import ship
@@ -28,7 +30,7 @@ class Staging:
     """Tables of one operator run under one folder of the shared store.
 
     A staged table cuts the lineage: a lost executor recomputes only from the last written table. Tables that later
-    steps no longer need are dropped at once; the rest go when the JVM ends (deleteOnExit).
+    steps no longer need are dropped at once; the rest go at the end of released(), else when the JVM ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -36,6 +38,8 @@ class Staging:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._path(self.root, lambda fs, path: fs.mkdirs(path) and fs.deleteOnExit(path))
+        for opened in _RELEASED:
+            opened.append(self)
 
     def _path(self, at: str, act) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -50,6 +54,26 @@ class Staging:
         for tag in tags:
             self._path(f"{self.root}/{tag}", lambda fs, path: fs.delete(path, True))
 
+    def release(self) -> None:
+        self._path(self.root, lambda fs, path: fs.delete(path, True))
+
+
+#: Lists of the staging folders that were opened within released(), the outermost first.
+_RELEASED: list[list[Staging]] = []
+
+
+@contextlib.contextmanager
+def released() -> Iterator[None]:
+    """Deletes at its end all staging folders opened within it; results that read them must be written by then."""
+    opened: list[Staging] = []
+    _RELEASED.append(opened)
+    try:
+        yield
+    finally:
+        _RELEASED.remove(opened)
+        for staging in opened:
+            staging.release()
+
 
 #: More partitions than this cost more to schedule than they save; a partition is then larger, and spills.
 MOST_PARTS = 1 << 16
@@ -74,20 +98,32 @@ def key_hash(*cols: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *cols)), 1, 13), 16, 10).cast("long")
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """With the id, tells rows of a repeated id apart; rows alike in id and text share it."""
-    return F.xxhash64(F.col(text_col), F.col(id_col), F.col(text_col).isNull())
+def named(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of `docs`, all columns as they are, whose (id, row key) is in `kept` (doc_id, row_key).
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """`wanted`, each led by as many underscores as it takes to clash with no name in `taken`, whatever the case."""
+    used, out = {n.lower() for n in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
-    Of rows alike in id and text one stays, the first by the other columns that can be ordered.
+
+def numbered(staging: Staging, rows: DataFrame, tag: str = "rows") -> tuple[DataFrame, str]:
+    """`rows`, written with a number of its own for each row, and that column's name.
+
+    The number, not the id and not a hash, tells rows apart, so null and repeated ids and equal texts are safe, and no
+    key of a later join is hot. Once written the numbers are fixed, whatever executors are lost.
     """
-    names = docs.columns
-    rest = [f.name for f in docs.schema.fields if f.name not in (id_col, text_col) and f.dataType.simpleString().split("<")[0] not in ("map", "variant")]
-    keyed = docs.withColumn("__k1", F.col(id_col).cast("long")).withColumn("__k2", row_key(id_col, text_col))
-    chosen = kept.select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__r"))
-    joined = keyed.join(chosen, (F.col("__k2") == F.col("__r")) & F.col("__k1").eqNullSafe(F.col("__d")), "left_semi")
-    one = Window.partitionBy("__k2", "__k1").orderBy(*(rest or ["__k2"]))
-    return joined.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*(f"`{n}`" for n in names))
+    (no,) = free_names(rows.columns, "__no")
+    return staging.write(rows.withColumn(no, F.monotonically_increasing_id()), tag), no
+
+
+def only(rows: DataFrame, no: str, kept: DataFrame) -> DataFrame:
+    """The rows whose number is in the column `no` of `kept`, without the number."""
+    return rows.join(kept.select(F.col("no").alias(no)), no, "left_semi").select(*(named(n) for n in rows.columns if n != no))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from conftest import DATA
 from llm_cases import PROSE, ROWS, components, edge_docs, empty_docs, lower, shingle_set, words
+from test_table_operators import brute_pieces
 
 from spanmill.llm import exact, neardup, repeats
 from spanmill.llm.components import connected
@@ -70,7 +71,8 @@ def test_near_groups_of_families_without_their_original(spark):
 
 
 def test_buckets_beyond_a_block_are_split_without_losing_links(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(neardup, "LEAST_BLOCK", 4)
+    monkeypatch.setattr(neardup, "MOST_BLOCK", 4)
     rng = random.Random(9)
     base = " ".join(f"v{rng.randrange(10**6)}" for _ in range(120))
     texts = {i: changed(rng, base, rng.randrange(1, 6)) for i in range(60)}
@@ -176,16 +178,15 @@ def test_pipeline_against_brute_force(spark):
     pieces = Counter()
     for r in rows:
         mean = size[r["source"]] ** 0.5 / weight * len(rows) / size[r["source"]]
-        u = int(hashlib.md5(f"draw7:0:{r['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52
+        u = int(hashlib.md5(f"draw7:0:{r['doc_id']}:{hashlib.md5(r['text'].encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / 2**52
         p = c = np.exp(-mean)
         n = 0
         while c <= u:
             n += 1
             p *= mean / n
             c += p
-        tokens = len(words(r["text"])) + 1
-        for start in range(0, tokens, 4096):
-            pieces[(r["doc_id"], start, min(4096, tokens - start))] += n
+        for (i, start, length, _), k in brute_pieces([(r["doc_id"], r["text"])], 4096).items():
+            pieces[(i, start, length)] += n * k
     got = corpus_pipeline.run(spark, f"{DATA}/sf0.001").collect()
     assert Counter((r["doc_id"], r["start"], r["length"]) for r in got) == +pieces
     assert sorted({r["batch"] for r in got}) == list(range(max(r["batch"] for r in got) + 1))
@@ -203,3 +204,38 @@ def test_pipeline_stages_keep_the_columns(spark):
     kept = [(r["doc_id"], r["text"]) for r in exact.keep_distinct(spark, docs).collect()]
     assert Counter(lower(t) for _, t in kept).most_common(1)[0][1] == 1
     assert len(kept) == len({lower(r[1]) for r in ROWS})
+
+
+def test_heavy_buckets_are_counted_by_fingerprint(spark, monkeypatch):
+    """Every bucket is too heavy to be held, and mappers flush often, so that copies come in different blobs."""
+    monkeypatch.setattr(repeats, "HEAVY_BYTES", 0)
+    monkeypatch.setattr(repeats, "FLUSH_BYTES", 1 << 12)
+    rng = random.Random(12)
+    fresh = lambda n: " ".join(f"t{rng.randrange(10**6)}" for _ in range(n))
+    passage = fresh(60)
+    rows = [(i, f"{fresh(rng.randrange(0, 90))} {passage} {fresh(rng.randrange(0, 50))}") for i in range(40)]
+    rows += [(50, "a " * 400), (51, "c d " * 90), (52, fresh(300)), (53, None), (None, passage), (None, passage), (54, passage + " " + passage)]
+    check_repeats(spark, rows)
+
+
+def test_components_need_few_rounds_on_a_shuffled_path(spark):
+    ids = list(range(6_400))
+    random.Random(1).shuffle(ids)
+    links = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long")
+    rounds = []
+    got = connected(Staging(spark, "t"), links, "p", rounds)
+    assert got.count() == got.where("comp = 0").count() == 6_400
+    assert rounds[0] <= 30
+
+
+def test_links_of_small_sets_are_never_lost(spark):
+    """All pairs of sizes up to 21 that just reach the threshold: no band need agree on so few shingles."""
+    rng = random.Random(13)
+    texts, i = {}, 0
+    for n in range(3, 17):
+        for _ in range(20):
+            own = [f"s{rng.randrange(10**9)}" for _ in range(n + 4)]
+            gone = n - (3 * n + 3) // 4
+            texts[i], texts[i + 1] = " ".join(own), " ".join(own[: len(own) - gone])
+            i += 2
+    check_near(spark, texts)

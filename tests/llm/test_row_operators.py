@@ -13,15 +13,16 @@ from spanmill.llm import attribution, language, media, queries
 
 
 def brute_sections(text, rule):
-    """Tokens of each line, token by token."""
+    """Tokens of each line, and those that begin in it and end in a later one, token by token."""
     encoder, _ = attribution._encoder(attribution.VOCABULARY, attribution.PATTERN)
     raw = (text or "").encode()
     lines = (text or "").splitlines(keepends=True) if not set(text or "") & set("\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029") else [x + "\n" for x in text.split("\n")[:-1]] + [text.split("\n")[-1]] * bool(text.split("\n")[-1])
     owner = [i for i, x in enumerate(lines) for _ in x.encode()]
-    counts, at = [0.0] * max(1, len(lines)), 0
+    counts, crossing, at = [0.0] * max(1, len(lines)), [0] * max(1, len(lines)), 0
     for token in encoder.encode_ordinary(text or ""):
         own = owner[at : at + len(encoder.decode_single_token_bytes(token))]
         at += len(own)
+        crossing[own[0]] += own[-1] > own[0]
         if rule == "first":
             counts[own[0]] += 1
         elif rule == "most":
@@ -30,7 +31,7 @@ def brute_sections(text, rule):
             for s in set(own):
                 counts[s] += own.count(s) / len(own)
     assert at == len(raw)
-    return counts
+    return counts, crossing
 
 
 @pytest.mark.parametrize("rule", attribution.RULES)
@@ -40,12 +41,28 @@ def test_sections_against_brute_force(spark, rule):
     got = attribution.section_tokens(docs, rule).orderBy("doc_id", "section").collect()
     for i, text in enumerate(texts):
         mine = [r for r in got if r["doc_id"] == i]
-        assert [r["tokens"] for r in mine] == pytest.approx(brute_sections(text, rule))
+        counts, crossing = brute_sections(text, rule)
+        assert [r["tokens"] for r in mine] == pytest.approx(counts)
+        assert [r["crossing"] for r in mine] == crossing
         assert sum(r["tokens"] for r in mine) == pytest.approx(mine[0]["doc_tokens"])
         assert [mine[0]["start"], mine[-1]["end"]] == [0, len(text or "")]
         assert all(a["end"] == b["start"] for a, b in zip(mine, mine[1:], strict=False))
 
 
+def test_long_runs_of_white_space_are_encoded_as_the_pattern_splits_them(spark):
+    encoder, sizes = attribution._encoder(attribution.VOCABULARY, attribution.PATTERN)
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        parts = [rng.choice([" ", "\n", "\t", "\u3000", " \n"]) * int(rng.choice([1, 2, 999, 1000, 1001, 3000])) + str(rng.choice(["x", "9", "!", "'s", "é", ""])) for _ in range(4)]
+        text = str(rng.choice(["", "a", "7"])) + "".join(parts)
+        assert attribution.token_ids(encoder, text, attribution.PATTERN) == encoder.encode_ordinary(text)
+    texts = [" " * 1_000_000 + "x", "\n" * 1_000_000 + " x", "x" * 2_000_000, "1" * 2_000_000, "!" * 2_000_000, " " * 1_500_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = attribution.section_tokens(docs).groupBy("doc_id").agg({"tokens": "sum", "end": "max", "doc_tokens": "max"}).collect()
+    assert {r["doc_id"]: r["max(end)"] for r in got} == {i: len(t) for i, t in enumerate(texts)}
+    assert all(r["sum(tokens)"] == r["max(doc_tokens)"] > 0 for r in got)
+
+
 def test_attribution_of_awkward_and_empty_tables(spark):
     got = attribution.section_tokens(edge_docs(spark)).collect()
     assert len({r["doc_id"] for r in got}) == 15
@@ -91,8 +108,9 @@ def test_false_positive_correction():
     langs, score = language.decide(filters, np.concatenate([sets["bb"][:500], foreign[:500]]), np.array([0, 1000]), np.array([True]))
     assert langs == ["bb"]
     assert score[0] == pytest.approx(0.5, abs=0.03)
-    with pytest.raises(ValueError, match="64"):
-        language.build_filters({f"l{i}": sets["aa"][:1] for i in range(65)})
+    many = language.build_filters({f"l{i:02}": sets["aa"][i : i + 1] for i in range(65)})
+    assert len(many.words) == 2
+    assert language.decide(many, sets["aa"][64:65], np.array([0, 1]), np.array([True]))[0] == ["l64"]
 
 
 def pictures():

@@ -10,10 +10,10 @@ import pytest
 from conftest import DATA
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from llm_cases import ROWS, edge_docs, empty_docs, words
+from llm_cases import ROWS, edge_docs, empty_docs
 from pyspark.sql import functions as F
 
-from spanmill.llm import mixing, packing, queries, sharding, urls
+from spanmill.llm import attribution, mixing, packing, queries, sharding, urls
 
 
 @pytest.mark.parametrize("shards", [1, 3, 16])
@@ -46,7 +46,8 @@ def test_shards_are_contiguous_and_even(spark):
 
 def test_poisson_counts_follow_the_mean(spark):
     for mean in (0.0, 0.3, 2.5, 40.0, 1000.0):
-        rows = spark.range(4000).select(mixing.poisson_count(F.lit(mean), 3, F.col("id").cast("string")).alias("n")).collect()
+        tabled = spark.range(4000).withColumn("t", mixing.poisson_table(F.lit(mean)))
+        rows = tabled.select(mixing.poisson_count(F.col("t"), 3, F.col("id").cast("string")).alias("n")).collect()
         counts = np.array([r["n"] for r in rows])
         assert counts.mean() == pytest.approx(mean, abs=5 * math.sqrt(max(mean, 1e-9) / 4000) + 1e-9)
         if mean:
@@ -92,14 +93,34 @@ def test_bounds_have_the_least_padding(histogram, buckets):
     assert padding == exhaustive(lengths.tolist(), counts.tolist(), buckets)
 
 
+def brute_pieces(rows, window):
+    """(id, start, length, bytes) of all pieces, by the encoder's own tokens."""
+    encoder, _ = attribution._encoder(attribution.VOCABULARY, attribution.PATTERN)
+    want = Counter()
+    for r in rows:
+        tokens = [encoder.decode_single_token_bytes(t) for t in encoder.encode_ordinary(r[1] or "")] + [b""]
+        for start in range(0, len(tokens), window):
+            part = tokens[start : start + window]
+            want[(r[0], start, len(part), b"".join(part))] += 1
+    return want
+
+
 def test_batches_hold_every_token_once_within_the_budget(spark):
     got = packing.length_buckets(spark, edge_docs(spark), buckets=3, window=1000, budget=4000).collect()
-    want = Counter()
+    texts = defaultdict(set)
     for r in ROWS:
-        n = len(words(r[1])) + 1
-        for start in range(0, n, 1000):
-            want[(r[0], start, min(1000, n - start))] += 1
-    assert Counter((r["doc_id"], r["start"], r["length"]) for r in got) == want
+        texts[r[0]].add((r[1] or "").encode())
+    want = brute_pieces(ROWS, 1000)
+    assert Counter((r["doc_id"], r["start"], r["length"]) for r in got) == sum((Counter({k[:3]: n}) for k, n in want.items()), Counter())
+    for r in got:
+        assert r["piece"] * 1000 == r["start"]
+        assert any(want[(r["doc_id"], r["start"], r["length"], t[r["first_byte"] : r["last_byte"]])] for t in texts[r["doc_id"]])
+    histogram = Counter(r["length"] for r in got)
+    lengths = sorted(histogram)
+    padding = sum(r["bucket"] - r["length"] for r in got)
+    assert padding == min(
+        sum(histogram[x] * (min(b for b in (*cut, lengths[-1]) if b >= x) - x) for x in lengths) for cut in itertools.combinations(lengths[:-1], min(2, len(lengths) - 1))
+    )
     by = defaultdict(list)
     for r in got:
         by[r["batch"]].append(r)
@@ -134,7 +155,7 @@ def brute_templates(pages):
     def segments(path):
         out = [s for s in path.split("/") if s]
         out = ["*" if re.fullmatch(r"[0-9a-fA-F-]{8,}", s) and re.search("[0-9]", s) else re.sub("[0-9]+", "*", s) for s in out]
-        return tuple(out) if len(out) <= urls.DEPTH else (*out[: urls.DEPTH], "**")
+        return tuple(out)
 
     stats = defaultdict(lambda: [0, 0, 0])
     for host, path, good in pages:
@@ -143,7 +164,8 @@ def brute_templates(pages):
         s[1] += good == 1
         s[2] += good == 0
     leaf = {k: k[1] for k in stats}
-    for d in range(urls.DEPTH):
+    depth = max((len(t) for t in leaf.values()), default=0)
+    for d in range(depth):
         kids = defaultdict(Counter)
         for k, t in leaf.items():
             if len(t) > d:
@@ -154,7 +176,7 @@ def brute_templates(pages):
                 if not (len(own) <= urls.FEW_BRANCHES or own[t[d]] >= urls.LEAST_SHARE * sum(own.values())):
                     leaf[k] = (*t[:d], "*", *t[d + 1 :])
     merged = dict(leaf)
-    for d in range(urls.DEPTH - 1, -1, -1):
+    for d in range(depth - 1, -1, -1):
         sums = defaultdict(lambda: [0, 0])
         for k, t in merged.items():
             sums[(k[0], t)][0] += stats[k][1]
@@ -185,8 +207,11 @@ def brute_templates(pages):
     return segments, {k: (t, *total[(k[0], t)]) for k, t in merged.items()}
 
 
-def brute_judged(pages, labels):
+def brute_judged(pages, labels=None):
     rows = [(i, *brute_url(u)) for i, u in pages]
+    if labels is None:
+        assert len({i for i, _ in pages}) == len(pages)
+        labels = {i: int(rule.verdict == "allow") for i, _, _, rule in rows if rule}
     segments, found = brute_templates([(h, p, labels.get(i)) for i, h, p, _ in rows])
     once = {(k[0], t): (g, b) for k, (t, g, b) in found.items()}
     good, bad = sum(g for g, _ in once.values()), sum(b for _, b in once.values())
@@ -205,7 +230,7 @@ def brute_judged(pages, labels):
     return Counter(out)
 
 
-def judged(spark, pages, labels):
+def judged(spark, pages, labels=None):
     got = urls.judge_urls(spark, pages, labels).collect()
     return Counter((str(r["page_id"]), r["host"], r["path"], r["rule"], r["verdict"], r["template"], r["purity"]) for r in got)
 
@@ -215,6 +240,7 @@ def test_urls_against_brute_force(spark):
     labels = spark.read.parquet(f"{DATA}/sf0.01/labels.parquet").selectExpr("doc_id page_id", "cast(quality = 1 and toxic = 0 as int) good")
     want = brute_judged([(r["page_id"], r["url"]) for r in pages.collect()], {r["page_id"]: r["good"] for r in labels.collect()})
     assert judged(spark, pages, labels) == want
+    assert judged(spark, pages) == brute_judged([(r["page_id"], r["url"]) for r in pages.collect()])
 
 
 def test_urls_of_awkward_pages(spark):
