@@ -161,33 +161,14 @@ def _links(staging: Staging, pairs: DataFrame, texts: DataFrame, parts: int) ->
     return dealt.mapInArrow(_confirmed, "a long, b long")
 
 
-def _compared(batches):
-    """Rows (bucket, i, j, side, comp, cid, n, s0..s3) in order of (bucket, i, j), a cell: the pairs of a cell's two
-    sides, or of its only one, in different components, that sizes and signatures do not rule out."""
-    held: list[pa.RecordBatch] = []
-    cell = None
+_CELL = ["bucket", "i", "j"]
+_ROW = "bucket long, i int, j int, side int, comp long, cid long, n long, s0 long, s1 long, s2 long, s3 long"
 
-    def flush():
-        rows = pa.concat_batches(held) if len(held) > 1 else held[0]
-        side, comp, cid, n = (rows.column(k).to_numpy() for k in range(3, 7))
-        bits = np.stack([rows.column(k).to_numpy() for k in range(7, 11)], axis=1).view(np.uint64)
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1)
-        alone = cell[1] == cell[2] and not right.size
-        right = left if alone else right
-        for first in range(0, left.size, 256):
-            own = left[first : first + 256]
-            x, y = bits[own][:, None], bits[right][None, :]
-            differ = [np.bitwise_count((x[..., k] ^ y[..., k]) | (x[..., k + 2] ^ y[..., k + 2])) for k in range(2)]
-            small, large = np.minimum(n[own][:, None], n[right][None, :]), np.maximum(n[own][:, None], n[right][None, :])
-            near = (128 - differ[0].astype(np.int16) - differ[1] >= LEAST_AGREEMENT) | (small <= SMALL)
-            near &= (small * 100 >= large * PERCENT) & (comp[own][:, None] != comp[right][None, :])
-            if alone:
-                near &= cid[own][:, None] < cid[right][None, :]
-            i, j = np.nonzero(near)
-            a, b = cid[own[i]], cid[right[j]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
+def _cells(batches):
+    """The cells (bucket, i, j) of rows that are in order of them, one after the other."""
+    held: list[pa.RecordBatch] = []
+    cell = None
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -196,12 +177,68 @@ def _compared(batches):
         for first, last in zip(edges, edges[1:], strict=False):
             here = tuple(keys[first].tolist())
             if here != cell and held:
-                yield from flush()
-                held.clear()
+                yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                held = []
             cell = here
             held.append(batch.slice(first, last - first))
     if held:
-        yield from flush()
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
+
+
+def _near_pairs(rows: pa.RecordBatch, root: np.ndarray):
+    """Blocks (i, j, agreement) of the pairs of a cell's two sides, or of its only one, that have different roots and are
+    not ruled out by sizes and signatures. Roots are read anew for each block."""
+    side, n = rows.column(3).to_numpy(), rows.column(6).to_numpy()
+    bits = np.stack([rows.column(k).to_numpy() for k in range(7, 11)], axis=1).view(np.uint64)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = rows.column(1)[0].as_py() == rows.column(2)[0].as_py()
+    right = left if alone else right
+    for first in range(0, left.size, 256):
+        own = left[first : first + 256]
+        x, y = bits[own][:, None], bits[right][None, :]
+        differ = [np.bitwise_count((x[..., k] ^ y[..., k]) | (x[..., k + 2] ^ y[..., k + 2])) for k in range(2)]
+        agree = 128 - differ[0].astype(np.int16) - differ[1]
+        small, large = np.minimum(n[own][:, None], n[right][None, :]), np.maximum(n[own][:, None], n[right][None, :])
+        near = ((agree >= LEAST_AGREEMENT) | (small <= SMALL)) & (small * 100 >= large * PERCENT) & (root[own][:, None] != root[right][None, :])
+        if alone:
+            near &= own[:, None] < right[None, :]
+        i, j = np.nonzero(near)
+        yield own[i], right[j], agree[i, j]
+
+
+def _taking_part(batches):
+    """The rows of each cell that are in a plausible pair at all."""
+    for rows in _cells(batches):
+        root, seen = rows.column(4).to_numpy(), np.zeros(rows.num_rows, bool)
+        for i, j, _ in _near_pairs(rows, root):
+            seen[i] = seen[j] = True
+        yield rows.filter(pa.array(seen))
+
+
+def _resolved(batches):
+    """Links (a, b) between components, from the rows of _ROW and their text.
+
+    A cell's plausible pairs are confirmed on full sets, the likeliest first. Components that a link joins count as one
+    from then on, so that a cell costs few tests where most rows belong together and gives at most a link a row.
+    """
+    for rows in _cells(batches):
+        _, root = np.unique(rows.column(4).to_numpy(), return_inverse=True)
+        cid, sets = rows.column(5).to_numpy(), {}
+        left, right = [], []
+        for i, j, agree in _near_pairs(rows, root):
+            order = np.argsort(-agree, kind="stable")
+            for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                if root[a] == root[b]:
+                    continue
+                for k in (a, b):
+                    if k not in sets:
+                        sets[k] = shingle_sets(rows.column(11).slice(k, 1))[0]
+                both = np.intersect1d(sets[a], sets[b], assume_unique=True).size
+                if 100 * both >= PERCENT * (sets[a].size + sets[b].size - both):
+                    root[root == root[b]] = root[a]
+                    left.append(int(cid[a]))
+                    right.append(int(cid[b]))
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
 def _shared_buckets(staging: Staging, classes: DataFrame) -> DataFrame:
@@ -219,12 +256,14 @@ def _shared_buckets(staging: Staging, classes: DataFrame) -> DataFrame:
     return out
 
 
-def _across(staging: Staging, classes: DataFrame, shared: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
-    """Plausible pairs (a, b), a < b, of classes that share a bucket and are in different components still.
+def _across(staging: Staging, classes: DataFrame, shared: DataFrame, labels: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+    """Links (a, b) of classes that share a bucket and are in different components still.
 
     Of a bucket that holds several components, those of its centre's component and the others are dealt to blocks each;
     each block of others meets each block of either in a cell of its own, so every pair with one of the others is seen,
-    no cell is large, and no member of the centre's component is compared with another. Only signatures travel.
+    no cell is large, and no member of the centre's component is compared with another. Signatures travel first; the
+    texts of the rows that are in a plausible pair follow them to the cells. Pairs never become rows: in a family whose
+    members resemble each other below the threshold there are as many as its square.
     """
     comp = lambda name: labels.select(F.col("id").alias(f"__{name}"), F.col("comp").alias(f"comp_{name}"))
     joined = shared.join(comp("cid"), F.col("cid") == F.col("__cid"), "left").join(comp("a"), F.col("a") == F.col("__a"), "left")
@@ -245,8 +284,9 @@ def _across(staging: Staging, classes: DataFrame, shared: DataFrame, labels: Dat
     dealt = rows.select("bucket", "comp", "cid", F.explode(cells).alias("c")).select("bucket", "c.i", "c.j", "c.side", "comp", "cid")
     bits = classes.select("cid", "n", *(F.get("bits", F.lit(i)).alias(f"s{i}") for i in range(4)))
     dealt = dealt.join(bits, "cid").select("bucket", "i", "j", "side", "comp", "cid", "n", "s0", "s1", "s2", "s3")
-    keys = ["bucket", "i", "j"]
-    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_compared, "a long, b long").distinct()
+    part = staging.write(dealt.repartition(parts, *_CELL).sortWithinPartitions(*_CELL).mapInArrow(_taking_part, _ROW), "part")
+    told = part.join(texts, "cid").select(*part.columns, "text")
+    return told.repartition(parts, *_CELL).sortWithinPartitions(*_CELL).mapInArrow(_resolved, "a long, b long")
 
 
 def _components(spark: SparkSession, staging: Staging, rows: DataFrame, size: int | None) -> tuple[DataFrame, DataFrame]:
@@ -273,12 +313,10 @@ def _components(spark: SparkSession, staging: Staging, rows: DataFrame, size: in
     stars = shared.where("cid != a").select("a", F.col("cid").alias("b")).distinct()
     links = staging.write(_links(staging, staging.write(_plausible(stars, classes), "stars"), texts, parts), "links")
     labels = staging.write(connected(staging, links, "labels"), "labels")
-    pairs = staging.write(_across(staging, classes, shared, labels, parts), "pairs")
-    if not pairs.isEmpty():
-        found = staging.write(_links(staging, pairs, texts, parts), "found")
-        if not found.isEmpty():
-            labels = staging.write(connected(staging, links.unionByName(found), "relabels"), "relabels")
-    staging.drop("texts", "shared", "placed", "pairs", "stars")
+    found = staging.write(_across(staging, classes, shared, labels, texts, parts), "found")
+    if not found.isEmpty():
+        labels = staging.write(connected(staging, links.unionByName(found), "relabels"), "relabels")
+    staging.drop("texts", "shared", "placed", "part", "stars")
     comps = classes.select("set_key", "cid", "least", "first").join(labels, F.col("cid") == F.col("id"), "left").withColumn("comp", F.coalesce("comp", "cid"))
     comps = staging.write(comps.select("set_key", "comp", "least", "first"), "comps")
     heads = staging.write(comps.groupBy("comp").agg(F.min("least").alias("component"), F.min("first")["no"].alias("first")), "heads")
@@ -300,8 +338,10 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     2. Each class is paired with its buckets' centres: one pair a row, whatever the bucket's size. Sizes and two-bit
        signatures rule pairs out; the rest are confirmed on full sets, computed anew from the texts, and confirmed
        pairs make components.
-    3. Buckets that still hold several components are compared across these by signature, in cells of bounded size, so
-       that a link between two members that both differ from the centre is found; pairs are confirmed in the same way.
+    3. Buckets that still hold several components are compared across these, in cells of bounded size, so that a link
+       between two members that both differ from the centre is found; plausible pairs are confirmed inside their cell, and
+       only links that join components leave it. The tests of signatures grow with the square of a bucket's classes that
+       are in no component together, in even cells.
     A link of sets over 16 shingles is lost only if all 32 bands differ (below 9e-6 at 0.75, less above) or by the
     signature test (below 1e-8); one of a smaller set never is.
     """
