@@ -15,7 +15,7 @@ from spanmill.functions.numeric import band, drawn_between, hash_uniform, stretc
 from spanmill.functions.signal import band_pass_udf, reverberated_udf
 from spanmill.functions.text import collapsed
 from spanmill.operators import metrics, registry, splitting, windows
-from spanmill.operators.rules import Rule
+from spanmill.operators.rules import Bound, meets_all
 
 SINGLE, CONCAT = "single", "concat"
 
@@ -216,9 +216,9 @@ def emission_metrics(rows: DataFrame, emission: str, reference: str, blank: int)
     return out.withColumn("nonblank", share).withColumn("cer", distance / F.greatest(F.size(reference), F.lit(1))).drop("__best")
 
 
-def rule_report(rows: DataFrame, rule: Rule, known: str, rate: str) -> DataFrame:
+def rule_report(rows: DataFrame, rule: Sequence[Bound], known: str, rate: str) -> DataFrame:
     """Rows by band that a rule flags, that are known, flagged but not known, and known but missed."""
-    hit, k = rule.column(), F.coalesce(F.col(known), F.lit(False))
+    hit, k = meets_all(rule), F.coalesce(F.col(known), F.lit(False))
     counts = {"flagged": hit, "known": k, "new": hit & ~k, "missed": k & ~hit}
     return rows.groupBy(band(F.col(rate)).alias("band")).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(n) for n, c in counts.items()))
 

@@ -1,60 +1,45 @@
-"""Predicates from data: conditions, conjunctions, and the search for thresholds that cover all positives."""
+"""Predicates from data: bounds on metrics, rows within all bounds, and the search for bounds that cover all positives.
+
+A bound is a tuple (metric, sign, value), as a row of a table or of a settings file holds it; a rule is some bounds.
+"""
 
 from __future__ import annotations
 
 import functools
 import itertools
 import operator
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.functions.numeric import outward
 
-_OPS = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
-
-
-@dataclass(frozen=True)
-class Condition:
-    metric: str
-    op: str
-    threshold: float
-
-    def __post_init__(self):
-        if self.op not in _OPS:
-            raise ValueError(f"unknown comparison {self.op}")
-
-    @property
-    def text(self) -> str:
-        return f"{self.metric}{self.op}{self.threshold:g}"
-
-    def column(self) -> Column:
-        """Never true of null or NaN."""
-        x = F.col(self.metric).cast("double")
-        return F.coalesce(_OPS[self.op](x, F.lit(float(self.threshold))) & ~F.isnan(x), F.lit(False))
-
+Bound = tuple[str, str, float]
+SIGNS = frozenset(("<", "<=", ">", ">="))
+#: Bounds whose outcomes share one integer.
+_WORD = 62
 
-@dataclass(frozen=True)
-class Rule:
-    conditions: tuple[Condition, ...]
 
-    def __post_init__(self):
-        if not self.conditions:
-            raise ValueError("a rule needs a condition")
+def meets(bound: Bound) -> Column:
+    """Whether a row's metric is within the bound; a null or NaN metric is within none."""
+    metric, sign, value = bound
+    if sign not in SIGNS:
+        raise ValueError(f"{sign!r} is none of {sorted(SIGNS)}")
+    known = F.nanvl(F.col(metric).cast("double"), F.lit(None).cast("double"))
+    return F.coalesce(F.call_function(f"`{sign}`", known, F.lit(float(value))), F.lit(False))
 
-    def column(self) -> Column:
-        return functools.reduce(operator.and_, (c.column() for c in self.conditions))
 
-    @classmethod
-    def of(cls, rows: Sequence[Mapping]) -> Rule:
-        return cls(tuple(Condition(r["metric"], r["op"], float(r["threshold"])) for r in rows))
+def meets_all(rule: Sequence[Bound]) -> Column:
+    """Whether a row is within every bound. No bounds are no rule: they would match every row."""
+    if not rule:
+        raise ValueError("a rule without bounds")
+    return F.forall(F.array(*map(meets, rule)), lambda met: met)
 
 
-def flagged(rows: DataFrame, rule: Rule, order: Sequence[str]) -> DataFrame:
+def flagged(rows: DataFrame, rule: Sequence[Bound], order: Sequence[str]) -> DataFrame:
     """The rows that match, in a named order."""
-    return rows.where(rule.column()).orderBy(*order)
+    return rows.where(meets_all(rule)).orderBy(*order)
 
 
 def covering_conditions(rows: DataFrame, positive: str, metrics: Sequence[str], step: float) -> DataFrame:
@@ -79,16 +64,24 @@ def covering_conditions(rows: DataFrame, positive: str, metrics: Sequence[str],
     )
 
 
-def candidate_rules(rows: DataFrame, positive: str, conditions: Sequence[Condition], most: int = 3, limit: int = 20) -> DataFrame:
-    """All conjunctions of up to `most` conditions by the negatives they hit: (rule, hits, covered), the best first.
+def candidate_rules(rows: DataFrame, positive: str, bounds: Sequence[Bound], most: int = 3, limit: int = 20) -> DataFrame:
+    """All conjunctions of up to `most` bounds by the negatives they hit: (rule, hits, covered), the best first.
 
-    Rows are scanned once: each row becomes the bitmask of the conditions it meets, masks are counted (at most
-    2^conditions groups), and the conjunctions are tested on the masks.
+    Rows are scanned once: each row becomes a bitmask of the bounds it meets, of as many words as these need, equal
+    masks are counted, and the conjunctions are tested on the masks.
     """
-    mask = functools.reduce(lambda a, b: a + b, (c.column().cast("int") * F.lit(1 << i) for i, c in enumerate(conditions)))
-    counts = rows.groupBy(mask.cast("int").alias("mask"), F.col(positive).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    combos = [c for k in range(1, most + 1) for c in itertools.combinations(range(len(conditions)), k)]
-    options = F.array(*(F.struct(F.lit("&".join(conditions[i].text for i in c)).alias("rule"), F.lit(sum(1 << i for i in c)).alias("need")) for c in combos))
-    tested = counts.withColumn("o", F.explode(options)).withColumn("hit", F.col("mask").bitwiseAND(F.col("o.need")) == F.col("o.need"))
-    total = lambda test: F.coalesce(F.sum(F.when(test & F.col("hit"), F.col("n"))), F.lit(0).cast("long"))
+    words = [f"m{w}" for w in range(-(-len(bounds) // _WORD))]
+    bits = [[F.when(meets(b), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, b in enumerate(bounds[w * _WORD : (w + 1) * _WORD])] for w in range(len(words))]
+    masks = [functools.reduce(operator.add, b).alias(w) for w, b in zip(words, bits, strict=True)]
+    counts = rows.groupBy(*masks, F.col(positive).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    combos = itertools.chain.from_iterable(itertools.combinations(range(len(bounds)), k) for k in range(1, most + 1))
+
+    def option(combo: tuple[int, ...]) -> Column:
+        text = "&".join(f"{bounds[i][0]}{bounds[i][1]}{bounds[i][2]:g}" for i in combo)
+        needs = [sum(1 << (i % _WORD) for i in combo if i // _WORD == w) for w in range(len(words))]
+        return F.struct(F.lit(text).alias("rule"), *(F.lit(n).cast("long").alias(f"n{w}") for w, n in enumerate(needs)))
+
+    tested = counts.withColumn("o", F.explode(F.array(*map(option, combos))))
+    hit = functools.reduce(operator.and_, (F.col(w).bitwiseAND(F.col(f"o.n{i}")) == F.col(f"o.n{i}") for i, w in enumerate(words)))
+    total = lambda test: F.coalesce(F.sum(F.when(test & hit, F.col("n"))), F.lit(0).cast("long"))
     return tested.groupBy("o.rule").agg(total(~F.col("p")).alias("hits"), total(F.col("p")).alias("covered")).orderBy("hits", F.desc("covered"), "rule").limit(limit)

@@ -11,7 +11,6 @@ from spanmill.operators import catalog as ca
 from spanmill.operators import composed as co
 from spanmill.operators import splitting as sp
 from spanmill.operators import windows as wi
-from spanmill.operators.rules import Rule
 from spanmill.plans.inputs import BAND_SQL, EVENTS_SQL, HOP, JUDGED_SQL, SIZE, WAVES_SQL, event_sources, event_spans, judged, labels_sql, r6, rounded, table, timed_events, waves
 from spanmill.streaming import pace
 
@@ -125,7 +124,7 @@ def emission_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rule = Rule.of([{"metric": "l_discount", "op": ">=", "threshold": 0.05}, {"metric": "l_tax", "op": "<", "threshold": 0.04}])
+    rule = [("l_discount", ">=", 0.05), ("l_tax", "<", 0.04)]
     rows = judged(spark, sf_dir).withColumn("known", F.col("condition") == "R")
     return co.rule_report(rows, rule, "known", "truth")
 

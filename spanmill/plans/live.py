@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanmill.plans.inputs import EVENTS_SQL, rounded, table, timed_events
 from spanmill.streaming import pace
+from spanmill.workers import shared_folder
 
 #: A user's events as live points: a part of the value is the count; spans in seconds of event time.
 SPAN = 1_296_000.0
@@ -43,7 +42,17 @@ def axis_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timers(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 37 - 60_000).alias("ms"))
     text = F.concat_ws(":", (F.col("o_orderkey") % 200).cast("string"), F.lpad((F.col("o_orderkey") % 70).cast("string"), 2, "0"))
-    return o.select("o_orderkey", pace.remaining_text(F.col("ms")).alias("remaining"), pace.timer_level(F.col("ms")).alias("level"), pace.parsed_duration(text).alias("parsed"))
+    left = o.select("o_orderkey", pace.time_left(F.col("ms")).alias("left"), pace.settable_ms(text).alias("parsed"))
+    return left.select("o_orderkey", F.col("left.text").alias("remaining"), F.col("left.level").alias("level"), "parsed")
+
+
+def countdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as actions of a timer of a day."""
+    actions = {"click": "toggle", "purchase": "reset", "view": "start", "scroll": "pause"}
+    act = F.coalesce(F.create_map(*(F.lit(x) for kv in actions.items() for x in kv))[F.col("event_type")], F.lit("look"))
+    first = F.row_number().over(Window.partitionBy("source_id").orderBy("at", "event_id")) == 1
+    rows = timed_events(spark, sf_dir).withColumn("ms", F.floor(F.col("at") * 1000)).withColumn("action", F.when(first, "set").otherwise(act)).withColumn("day", F.lit(86_400_000))
+    return pace.countdown(rows, ["source_id"], "ms", "action", ["at", "event_id"], "day").select("source_id", "event_id", "running", "left")
 
 
 def latest_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,14 +68,19 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """All that a stream gives for the files that are there now."""
-    name = f"live_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All that a stream gives for the files that are there now, by way of files in the shared folder."""
+    at = shared_folder(spark, "live")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    if mode == "complete":
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out"))
+    else:
+        writer = writer.format("parquet").option("path", f"{at}/out")
+    query = writer.start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
 def stream_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,14 +98,24 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.unix_seconds("window.start").alias("start"), "event_type", "n")
 
 
+def stream_scheduler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scheduler() over the stream of events. Arrivals of one instant count as one: the first by id."""
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)") / 1e6
+    rows = _stream(spark, sf_dir).select("user_id", at.alias("at"), F.floor(at).cast("long").alias("total"), (F.col("event_type") == "purchase").alias("busy"))
+    out = _drained(spark, pace.stream_scheduled(rows, "user_id", "at", "total", "busy", 172_800, 21_600), "append")
+    return out.groupBy(F.col("user_id").alias("source_id")).agg(F.count_if("run").alias("runs"), F.sum("skipped").alias("skipped"), F.max("window_end").alias("last_end"))
+
+
 QUERIES = {
     "q_rolling_pace": rolling_pace,
     "q_scheduler": scheduler,
     "q_prune_history": prune_history,
     "q_axis_top": axis_top,
     "q_timers": timers,
+    "q_countdown": countdown,
     "q_latest_window": latest_window,
     "s_rolling_pace": stream_pace,
+    "s_scheduler": stream_scheduler,
     "s_window_counts": stream_counts,
 }
 
@@ -99,11 +123,20 @@ _PACE = f"""pt AS (SELECT source_id, event_id, "at", value / 3.14159265358979::D
 rt AS (SELECT *, CASE WHEN c >= 2 THEN c / 2 END AS rate FROM pt),
 pc AS (SELECT *, avg(rate) OVER (PARTITION BY source_id ORDER BY us RANGE BETWEEN {int(SPAN * 1e6) - 1} PRECEDING AND CURRENT ROW) AS pace FROM rt)"""
 
+_SCHEDULER = f"""WITH {EVENTS_SQL}, t AS (SELECT source_id, event_id, "at", event_type = 'purchase' AS busy, CASE WHEN floor("at") < 172800 THEN -1 ELSE (floor("at")::BIGINT - 172800) // 21600 END AS tick FROM ev),
+b AS (SELECT *, coalesce(max(tick) OVER (PARTITION BY source_id ORDER BY "at", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS p FROM t)
+SELECT source_id, count(*) FILTER (tick > p AND NOT busy) AS runs, coalesce(sum(tick - p - (NOT busy)::INT) FILTER (tick > p), 0)::BIGINT AS skipped, max(172800 + tick * 21600) FILTER (tick > p AND NOT busy) AS last_end FROM b GROUP BY 1"""
+
 ORACLES = {
     "q_rolling_pace": f"WITH {EVENTS_SQL}, {_PACE} SELECT source_id, event_id, round(rate, 6) AS rate, round(pace, 6) AS pace FROM pc",
-    "q_scheduler": f"""WITH {EVENTS_SQL}, t AS (SELECT source_id, event_id, "at", event_type = 'purchase' AS busy, CASE WHEN floor("at") < 172800 THEN -1 ELSE (floor("at")::BIGINT - 172800) // 21600 END AS tick FROM ev),
-b AS (SELECT *, coalesce(max(tick) OVER (PARTITION BY source_id ORDER BY "at", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS p FROM t)
-SELECT source_id, count(*) FILTER (tick > p AND NOT busy) AS runs, coalesce(sum(tick - p - (NOT busy)::INT) FILTER (tick > p), 0)::BIGINT AS skipped, max(172800 + tick * 21600) FILTER (tick > p AND NOT busy) AS last_end FROM b GROUP BY 1""",
+    "q_scheduler": _SCHEDULER,
+    "s_scheduler": _SCHEDULER,
+    "q_countdown": f"""WITH RECURSIVE {EVENTS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY "at", event_id) AS i, floor("at" * 1000)::BIGINT AS ms,
+  CASE event_type WHEN 'click' THEN 'toggle' WHEN 'purchase' THEN 'reset' WHEN 'view' THEN 'start' WHEN 'scroll' THEN 'pause' ELSE 'look' END AS act FROM ev),
+s AS (SELECT source_id, i, event_id, ms, false AS running, 0::BIGINT AS spent FROM o WHERE i = 1
+  UNION ALL SELECT o.source_id, o.i, o.event_id, o.ms, CASE o.act WHEN 'toggle' THEN NOT s.running WHEN 'start' THEN true WHEN 'look' THEN s.running ELSE false END,
+    CASE WHEN o.act = 'reset' THEN 0 WHEN s.running THEN s.spent + o.ms - s.ms ELSE s.spent END FROM s JOIN o ON o.source_id = s.source_id AND o.i = s.i + 1)
+SELECT source_id, event_id, running, (86400000 - spent)::BIGINT AS "left" FROM s""",
     "q_prune_history": f"""WITH {EVENTS_SQL}, e AS (SELECT *, max("at") FILTER ("at" < 1987200) OVER (PARTITION BY source_id) AS edge FROM ev) SELECT source_id, event_id FROM e WHERE "at" >= 1987200 OR "at" = edge""",
     "q_axis_top": f"""WITH {EVENTS_SQL} SELECT source_id, (ceil(greatest(max(value / 3.14159265358979::DOUBLE), 10) / 2) * 2)::BIGINT AS axis_top FROM ev GROUP BY 1""",
     "q_timers": """WITH o AS (SELECT o_orderkey, o_orderkey * 37 - 60000 AS ms, o_orderkey % 200 AS m, o_orderkey % 70 AS s FROM orders), t AS (SELECT *, CASE WHEN ms < 0 THEN (-ms) // 1000 ELSE (ms + 999) // 1000 END AS sec FROM o)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from spanmill.functions.text import parsed_seconds
+
 SPAN, SILENCE, SIZE = 15.0, 2.0, 2.0
 
 
@@ -74,52 +77,163 @@ def ring_read(samples: DataFrame, keys: Sequence[str], at: str, end: Column, siz
     return got.select(*keys, F.when(F.size("__w") == size, F.col("__w.sample")).alias("window"))
 
 
-def remaining_text(ms: Column) -> Column:
-    """m:ss, rounded up; over time +m:ss, rounded down."""
-    over = ms < 0
-    sec = F.when(over, F.floor(-ms / 1000)).otherwise(F.ceil(ms / 1000)).cast("long")
-    text = F.format_string("%d:%02d", F.floor(sec / 60), F.pmod(sec, F.lit(60)))
-    return F.when(over & (sec > 0), F.concat(F.lit("+"), text)).otherwise(text)
+# Fixed values of a countdown: levels of the time left, the time up to which it warns, and the longest that can be set.
+LEVELS = ("over", "warn", "normal")
+WARN_MS = 60_000
+LONGEST_SEC = 180 * 60
+
 
+def time_left(ms: Column) -> Column:
+    """A struct (text, level) of milliseconds left. Whole seconds are rounded up, so that time that has run out counts
+    its full seconds; past time reads as +m:ss."""
+    seconds = F.ceil(ms / 1000)
+    sign = F.when(seconds < 0, F.lit("+")).otherwise(F.lit(""))
+    text = F.concat(sign, F.floor(F.abs(seconds) / 60).cast("string"), F.lit(":"), F.lpad((F.abs(seconds) % 60).cast("string"), 2, "0"))
+    level = F.get(F.array(*map(F.lit, LEVELS)), (ms >= 0).cast("int") + (ms > WARN_MS).cast("int"))
+    return F.struct(text.alias("text"), level.alias("level"))
 
-def timer_level(ms: Column) -> Column:
-    return F.when(ms < 0, "over").when(ms <= 60_000, "warn").otherwise("normal")
 
+def settable_ms(entry: Column) -> Column:
+    """Milliseconds of an entry in minutes, of up to three digits, or minutes and seconds; null if it is none, not
+    positive or longer than can be set."""
+    fields = F.split(F.trim(entry), ":")
+    seconds = F.when((F.size(fields) <= 2) & (F.length(fields[0]) <= 3), parsed_seconds(entry))
+    return F.when(seconds.between(1, LONGEST_SEC), seconds.cast("long") * 1000)
 
-def parsed_duration(s: Column) -> Column:
-    """Milliseconds of 'm' or 'm:ss'; null if unreadable, not positive or over 180 minutes."""
-    form = r"^\s*(\d{1,3})(?::([0-5]?\d))?\s*$"
-    part = lambda i: F.coalesce(F.regexp_extract(s, form, i).try_cast("int"), F.lit(0))
-    sec = part(1) * 60 + part(2)
-    return F.when(s.rlike(form) & (sec > 0) & (sec <= 180 * 60), sec.cast("long") * 1000)
 
+def countdown(events: DataFrame, keys: Sequence[str], at: str, action: str, order: Sequence[str], set_ms: str) -> DataFrame:
+    """Adds `running` and `left`, in milliseconds, after each event of a timer.
 
-def stream_pace(points: DataFrame, key: str, at: str, count: str, span: float = SPAN, silence: float = SILENCE, size: float = SIZE) -> DataFrame:
-    """rolling_pace() over a stream whose points arrive in order of time for each key: the same (key, at, count, rate,
-    pace) rows, emitted once. The state of a key is its points of the last `span` seconds, and nothing else."""
+    Actions are start, pause, toggle, reset (back to the full time, stopped) and set (as reset, to the time in `set_ms`);
+    any other is a look at the timer. `at` is in milliseconds. A timer starts stopped; before the first set its time is
+    null. Starting a running timer and pausing a stopped one change nothing. One sorted pass a key.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    fresh = F.col(action).isin("reset", "set")
+    out = events.withColumn("__life", F.count_if(fresh).over(w)).withColumn("__set", F.last(F.when(F.col(action) == "set", F.col(set_ms)), ignorenulls=True).over(w))
+    # A life's running state after an event: its last start, pause or reset, turned by each toggle since.
+    life = Window.partitionBy(*keys, "__life").orderBy(*order)
+    fixed = F.when(F.col(action) == "start", F.lit(1)).when(F.col(action).isin("pause", "reset", "set"), F.lit(0))
+    out = out.withColumn("__fixed", F.last(fixed, ignorenulls=True).over(life)).withColumn("__since", F.count_if(fixed.isNotNull()).over(life))
+    turns = F.count_if(F.col(action) == "toggle").over(Window.partitionBy(*keys, "__life", "__since").orderBy(*order))
+    out = out.withColumn("running", (F.coalesce("__fixed", F.lit(0)) + turns) % 2 == 1)
+    ran = F.when(F.lag("running").over(life), F.col(at) - F.lag(at).over(life)).otherwise(F.lit(0))
+    out = out.withColumn("__ran", ran).withColumn("left", F.col("__set") - F.sum("__ran").over(life))
+    return out.drop("__life", "__set", "__fixed", "__since", "__ran")
+
+
+def _timeout(idle: str | None) -> tuple[int, str]:
+    """Milliseconds after which a key's state is forgotten, 0 for never, and the timeout that does it."""
+    if idle is None:
+        return 0, GroupStateTimeout.NoTimeout
+    return int(pd.Timedelta(idle).total_seconds() * 1000), GroupStateTimeout.ProcessingTimeTimeout
+
+
+def _paced(t: np.ndarray, rate: np.ndarray, span: float) -> np.ndarray:
+    """The mean of the known rates over (t - span, t] for each of the ascending times."""
+    micros = np.round(t * 1e6).astype(np.int64)
+    known = ~np.isnan(rate)
+    sums, counts = (np.concatenate(([0.0], np.cumsum(x))) for x in (np.where(known, rate, 0.0), known))
+    first, last = np.searchsorted(micros, micros - int(span * 1e6), side="right"), np.searchsorted(micros, micros, side="right")
+    n = counts[last] - counts[first]
+    return np.where(n > 0, (sums[last] - sums[first]) / np.maximum(n, 1), np.nan)
+
+
+def stream_pace(
+    points: DataFrame, key: str, at: str, count: str, span: float = SPAN, silence: float = SILENCE, size: float = SIZE, late: float = 0.0, idle: str | None = None
+) -> DataFrame:
+    """rolling_pace() over a stream: the same (key, at, count, rate, pace) rows, each emitted once, from the points that
+    have arrived by then.
+
+    The state of a key is its points of the last `span + late` seconds: a point at most `late` behind its key's newest
+    is averaged as it should be, an older one is emitted without a pace. A key without points for `idle` of processing
+    time, if given, is forgotten; such a query has no end of its own, so it is not for triggers that end.
+    """
     fields = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    forget, timeout = _timeout(idle)
 
     def advance(name, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get, strict=True)) if state.exists else []
-        for frame in frames:
-            out = []
-            for t, c in frame.sort_values(at)[[at, count]].itertuples(index=False):
-                rate = c / size if c >= silence else None
-                held = [(x, r) for x, r in held if round(x * 1e6) > round(t * 1e6) - int(span * 1e6)] + [(t, rate)]
-                known = [r for _, r in held if r is not None and r == r]
-                out.append((name[0], t, c, rate, sum(known) / len(known) if known else None))
-            yield pd.DataFrame(out, columns=[key, at, count, "rate", "pace"])
-        state.update((([t for t, _ in held]), ([r for _, r in held])))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        new = pd.concat(list(frames))[[at, count]].astype("float64")
+        t, rate = new[at].to_numpy(), np.where(new[count] >= silence, new[count] / size, np.nan)
+        held_t, held_rate = (np.array(x, np.float64) for x in state.get) if state.exists else (np.empty(0), np.empty(0))
+        edge = held_t.max() - late if held_t.size else -np.inf
+        every_t, every_rate = np.concatenate((held_t, t)), np.concatenate((held_rate, rate))
+        order = np.argsort(every_t, kind="stable")
+        pace = np.empty(every_t.size)
+        pace[order] = _paced(every_t[order], every_rate[order], span)
+        pace = np.where(t >= edge, pace[held_t.size :], np.nan)
+        yield pd.DataFrame({key: name[0], at: t, count: new[count].to_numpy(), "rate": rate, "pace": pace})
+        keep = order[every_t[order] > every_t.max() - span - late]
+        state.update((every_t[keep].tolist(), every_rate[keep].tolist()))
+        if forget:
+            state.setTimeoutDuration(forget)
 
     return points.groupBy(key).applyInPandasWithState(
         advance,
         f"{key} {fields[key]}, {at} double, {count} double, rate double, pace double",
         "t array<double>, r array<double>",
         "append",
-        GroupStateTimeout.NoTimeout,
+        timeout,
     )
 
 
+def stream_scheduled(arrivals: DataFrame, key: str, at: str, total: str, busy: str, first: int, hop: int, idle: str | None = None) -> DataFrame:
+    """scheduled() over a stream: (key, at, tick, run, skipped, window_end) of each arrival, in order of time within a
+    micro-batch. The state of a key is its newest tick."""
+    fields = {f.name: f.dataType.simpleString() for f in arrivals.schema.fields}
+    forget, timeout = _timeout(idle)
+
+    def advance(name, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        new = pd.concat(list(frames)).sort_values(at, kind="stable")
+        tick = np.where(new[total] < first, -1, (new[total].to_numpy() - first) // hop).astype(np.int64)
+        start = state.get[0] if state.exists else -1
+        top = np.maximum.accumulate(np.concatenate(([start], tick)))
+        newer, taken = tick > top[:-1], new[busy].to_numpy(bool)
+        run = newer & ~taken
+        skipped = np.where(newer, tick - top[:-1] - ~taken, 0)
+        end = pd.array(np.where(run, first + tick * hop, 0), dtype="Int64")
+        end[~run] = pd.NA
+        yield pd.DataFrame({key: name[0], at: new[at].to_numpy(), "tick": tick, "run": run, "skipped": skipped, "window_end": end})
+        state.update((int(top[-1]),))
+        if forget:
+            state.setTimeoutDuration(forget)
+
+    schema = f"{key} {fields[key]}, {at} {fields[at]}, tick long, run boolean, skipped long, window_end long"
+    return arrivals.groupBy(key).applyInPandasWithState(advance, schema, "newest long", "append", timeout)
+
+
+def stream_ring(samples: DataFrame, key: str, at: str, value: str, size: int, held: int, idle: str | None = None) -> DataFrame:
+    """latest_window() over a stream: after each micro-batch the newest `size` samples of each key that got new ones,
+    (key, end, window), if they are complete and among the `held` newest positions, which are the state."""
+    fields = {f.name: f.dataType.simpleString() for f in samples.schema.fields}
+    forget, timeout = _timeout(idle)
+
+    def advance(name, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        new = pd.concat(list(frames))
+        old = pd.DataFrame({at: state.get[0], value: state.get[1]}) if state.exists else new.iloc[:0][[at, value]]
+        ring = pd.concat([old, new[[at, value]]]).drop_duplicates(at, keep="last").sort_values(at)
+        end = int(ring[at].iloc[-1]) + 1
+        ring = ring[ring[at] >= end - held]
+        window = ring[ring[at] >= end - size]
+        if len(window) == size and size <= held:
+            yield pd.DataFrame({key: [name[0]], "end": [end], "window": [window[value].astype("float64").tolist()]})
+        state.update((ring[at].astype("int64").tolist(), ring[value].astype("float64").tolist()))
+        if forget:
+            state.setTimeoutDuration(forget)
+
+    schema = f"{key} {fields[key]}, end long, window array<double>"
+    return samples.groupBy(key).applyInPandasWithState(advance, schema, "at array<long>, v array<double>", "append", timeout)
+
+
 def stream_counts(events: DataFrame, at: str, key: str, window: str = "5 minutes", hop: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Counts by sliding event-time window and key with a bound on lateness: state is dropped behind the watermark."""
     return events.withWatermark(at, late).groupBy(F.window(at, window, hop), key).agg(F.count(F.lit(1)).alias("n"))

@@ -1,4 +1,4 @@
-"""Python workers and the package."""
+"""What a job needs beyond one machine: the package on the workers, and a folder that all of them share."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -26,3 +27,27 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, at, ignore_errors=True)
     context.addPyFile(shutil.make_archive(f"{at}/spanmill", "zip", home, "spanmill"))
     context._spanmill_shipped = True
+
+
+#: Used only where the session names no shared folder (tests on one machine).
+LOCAL_SHARED_DIR = "/tmp/checkpoints/spanmill"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir, else a local one on local masters only."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return LOCAL_SHARED_DIR
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder there, which goes when the JVM ends."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return at

@@ -9,7 +9,6 @@ from spanmill.operators import composed as co
 from spanmill.operators import registry
 from spanmill.operators import splitting as sp
 from spanmill.operators import windows as wi
-from spanmill.operators.rules import Rule
 
 
 def clips(spark):
@@ -108,5 +107,5 @@ def test_emissions(spark):
 
 def test_rule_report(spark):
     rows = spark.createDataFrame([(3.0, 0.95, True), (3.5, 0.1, True), (9.0, 0.99, False)], "rate double, cer double, known boolean")
-    got = {r["band"]: (r["flagged"], r["new"], r["missed"]) for r in co.rule_report(rows, Rule.of([{"metric": "cer", "op": ">=", "threshold": 0.9}]), "known", "rate").collect()}
+    got = {r["band"]: (r["flagged"], r["new"], r["missed"]) for r in co.rule_report(rows, [("cer", ">=", 0.9)], "known", "rate").collect()}
     assert got == {"under4": (1, 0, 1), "over8": (1, 1, 0)}
