@@ -149,7 +149,7 @@ QUERIES = {
     "q_best_so_far": best_so_far,
 }
 
-_KANA = f"rd AS (SELECT doc_id, translate(regexp_replace(left(text, 400), '[^{LETTERS}]', '', 'g'), '{LETTERS}', '{READING}') AS kana FROM documents)"
+_KANA = f"rd AS (SELECT doc_id, translate(regexp_replace(text, '[^{LETTERS}]', '', 'g'), '{LETTERS}', '{READING}') AS kana FROM documents)"
 _UNITS = f"{_KANA}, un AS (SELECT doc_id, kana, regexp_extract_all(kana, '[アエイオウーンッ][ャョ]?|[ャョ]') AS u FROM rd)"
 _SPECIAL = "len(list_filter(u, lambda x: x IN ('ー', 'ン', 'ッ')))"
 _W = 'WINDOW w AS (PARTITION BY source_id ORDER BY "at", event_id)'

@@ -201,7 +201,7 @@ SELECT source_id, flagged, ((n - 400) // 50 + 1)::BIGINT AS n FROM s WHERE n >=
 e AS (SELECT *, round_even(n * k, 0)::BIGINT AS stretched_length, greatest(floor(50 / k), 0)::BIGINT AS excerpt_start, least(ceil(950 / k), n)::BIGINT AS excerpt_end FROM d)
 SELECT doc_id, stretched_length, excerpt_start, excerpt_end,
   greatest(least(100 - round_even(excerpt_start * k, 0)::BIGINT, round_even((excerpt_end - excerpt_start) * k, 0)::BIGINT - 800), 0) AS window_start, round(greatest(0.5, 800.0::DOUBLE / n), 6) AS least_stretch FROM e""",
-    "q_redrawn": """WITH t AS (SELECT l_orderkey, l_linenumber - 1 AS attempt, l_quantity AS rate FROM lineitem WHERE l_linenumber <= 3)
+    "q_redrawn": """WITH t AS (SELECT l_orderkey, l_linenumber - 1 AS attempt, l_quantity AS rate FROM lineitem)
 SELECT l_orderkey, attempt, rate FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY (rate >= 30)::INT DESC, attempt, rate) AS k FROM t WHERE rate >= 30 OR attempt = 0) WHERE k = 1""",
     "q_split_consistency": """WITH d AS (SELECT doc_id AS source_id, text, n_chars // 400 AS k FROM documents WHERE n_chars >= 400)
 SELECT source_id, k AS windows, length(regexp_replace(left(text, (k * 400)::INT), '[^a-z]', '', 'g'))::DOUBLE AS total, length(regexp_replace(text, '[^a-z]', '', 'g'))::DOUBLE AS whole,
