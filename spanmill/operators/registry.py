@@ -66,20 +66,30 @@ def existing_columns(spark: SparkSession, path: str) -> tuple[str, ...]:
 def upgrade_results(spark: SparkSession, path: str) -> bool:
     """Adds the missing trailing columns, as nulls; other values stay. False if there is nothing to add.
 
-    The new version is written beside the old one and put in its place by a rename.
+    The new version is written beside the old one; the old one is renamed aside, the new one into its place, and only
+    then is the old one deleted. A crash leaves a whole version at `path` or beside it, which the next call restores.
     """
+    jvm = spark.sparkContext._jvm
+    place, aside, made = (jvm.org.apache.hadoop.fs.Path(f"{path}{end}") for end in ("", ".replaced", ".upgrading"))
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place) and fs.exists(aside):
+        fs.rename(aside, place)
     present = existing_columns(spark, path)
     if present == COLUMNS:
+        fs.delete(aside, True)
         return False
     if present not in LAYOUTS:
         raise SchemaDrift(f"unknown layout {present}")
     empty = spark.createDataFrame([], SCHEMA)
-    spark.read.parquet(path).unionByName(empty, allowMissingColumns=True).select(*COLUMNS).write.parquet(f"{path}.upgrading")
-    jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.upgrading")
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    widened = spark.read.parquet(path).unionByName(empty, allowMissingColumns=True).select(*COLUMNS)
+    widened.write.mode("overwrite").parquet(f"{path}.upgrading")
+    fs.delete(aside, True)
+    if not fs.rename(place, aside):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(made, place):
+        fs.rename(aside, place)
+        raise OSError(f"cannot put the new version at {path}")
+    fs.delete(aside, True)
     return True
 
 

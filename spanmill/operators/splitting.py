@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanmill.functions.numeric import hash_uniform
+from spanmill.operators.ordering import numbered
 
 
 def hash_order(seed: int, *keys: str | Column) -> Column:
@@ -93,8 +94,7 @@ def evenly_spaced(items: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     """n rows at equal steps of a total order, the first among them."""
     count = items.count()
     step = max(count // n, 1)
-    at = F.row_number().over(Window.orderBy(*order)) - 1
-    return items.withColumn("__at", at).where((F.col("__at") % step == 0) & (F.col("__at") < step * n)).drop("__at")
+    return numbered(items, order, "__at").where((F.col("__at") % step == 0) & (F.col("__at") < step * n)).drop("__at")
 
 
 def fixed_groups(items: DataFrame, group: str, key: str, size: int, seed: int = 42) -> DataFrame:
@@ -139,36 +139,50 @@ def concat_groups(items: DataFrame, group: str, key: str, sizes: tuple[int, int]
     return rows.select(group, F.get("__all", F.col("p.i"))["key"].alias(key), "p.part", "p.place", gap.alias("gap"))
 
 
-def epoch_concat_groups(items: DataFrame, group: str, key: str, count: int, epoch: int, passes: int = 4, seed: int = 42, **spec) -> DataFrame:
-    """concat_groups() in several passes with their own draws, of which `count` groups are taken in hash order."""
-    out = None
-    for p in range(passes):
-        one = concat_groups(items, group, key, seed=seed, epoch=epoch * 1000 + p, **spec).withColumn("pass", F.lit(p))
-        out = one if out is None else out.unionByName(one)
+def epoch_concat_groups(items: DataFrame, group: str, key: str, count: int, epoch: int, most_passes: int = 10_000, seed: int = 42, **spec) -> DataFrame:
+    """concat_groups() in as many passes with their own draws as give `count` groups, which are taken in hash order of the
+    passes' groups, whole passes first.
+
+    The first pass tells how many groups one gives; the others are planned by it, and more follow while groups lack.
+    Raises ValueError if a pass gives none or `most_passes` do not give enough.
+    """
+    one = lambda p: concat_groups(items, group, key, seed=seed, epoch=epoch * 1_000_000 + p, **spec).withColumn("pass", F.lit(p))
+    out = one(0)
+    found, passes = out.select(group, "part", "pass").distinct().count(), 1
+    if not found and count:
+        raise ValueError("no group has enough items")
+    while found < count:
+        more = min(most_passes - passes, max(1, -(-(count - found) * passes // found)))
+        if more <= 0:
+            raise ValueError(f"{most_passes} passes give {found} of {count} groups")
+        for p in range(passes, passes + more):
+            out = out.unionByName(one(p))
+        passes += more
+        found = out.select(group, "part", "pass").distinct().count()
     names = out.select(group, "part", "pass").distinct()
     order = hash_order(seed + epoch, group, "part", "pass")
-    return out.join(names.orderBy(order, group, "part", "pass").limit(count), [group, "part", "pass"])
+    # Rows of passes before the last are all wanted, if the last is needed at all.
+    return out.join(names.orderBy((F.col("pass") == passes - 1).cast("int"), order, group, "part", "pass").limit(count), [group, "part", "pass"])
 
 
 def length_batches(items: DataFrame, length: str, key: str, batch: int, pool_batches: int = 16, seed: int = 42, epoch: int = 0) -> DataFrame:
     """Batches of similar lengths: a hash shuffle is cut into pools of `batch * pool_batches`, each pool sorted by length
     and cut into batches, and the batches shuffled. Adds batch (from 0) and place."""
-    order = Window.orderBy(hash_order(seed, F.lit(str(epoch)), F.col(key).cast("string")), key)
-    pool = F.floor((F.row_number().over(order) - 1) / (batch * pool_batches)).cast("int")
+    order = [hash_order(seed, F.lit(str(epoch)), F.col(key).cast("string")), key]
+    pooled = numbered(items, order, "__row").withColumn("__pool", F.floor(F.col("__row") / (batch * pool_batches)).cast("int"))
     inside = F.row_number().over(Window.partitionBy("__pool").orderBy(length, key)) - 1
-    out = items.withColumn("__pool", pool).withColumn("__in", inside)
+    out = pooled.drop("__row").withColumn("__in", inside)
     out = out.withColumn("__cut", F.floor(F.col("__in") / batch).cast("int")).withColumn("place", (F.col("__in") % batch).cast("int"))
     cuts = out.select("__pool", "__cut").distinct()
-    mixed = F.row_number().over(Window.orderBy(hash_order(seed + 1, F.lit(str(epoch)), F.concat_ws(":", "__pool", "__cut")))) - 1
-    return out.join(cuts.withColumn("batch", mixed), ["__pool", "__cut"]).drop("__pool", "__cut", "__in")
+    mixed = numbered(cuts, [hash_order(seed + 1, F.lit(str(epoch)), F.concat_ws(":", "__pool", "__cut")), "__pool", "__cut"], "batch")
+    return out.join(mixed.withColumn("batch", F.col("batch").cast("int")), ["__pool", "__cut"]).drop("__pool", "__cut", "__in")
 
 
 def drawn_from(wanted: DataFrame, base: DataFrame, key: str, value: str, seed: int = 42) -> DataFrame:
     """Adds to each wanted row a value drawn with replacement from the base rows: a hash-indexed equi-join."""
-    numbered = base.select(F.row_number().over(Window.orderBy(value)).alias("__n"), F.col(value))
     n = base.count()
-    index = F.floor(hash_uniform(F.lit(str(seed)), F.col(key).cast("string")) * n).cast("int") + 1
-    return wanted.withColumn("__n", index).join(numbered, "__n").drop("__n")
+    index = F.floor(hash_uniform(F.lit(str(seed)), F.col(key).cast("string")) * n).cast("long")
+    return wanted.withColumn("__n", index).join(numbered(base.select(value), [value], "__n"), "__n").drop("__n")
 
 
 def rotated_order(names: Sequence[str], rounds: DataFrame, round_col: str = "round") -> DataFrame:

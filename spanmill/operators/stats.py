@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanmill.operators.ordering import numbered
 from spanmill.functions.numeric import hash_uniform
 
 #: Scales the median absolute deviation to a standard deviation.
@@ -101,8 +102,7 @@ def weighted_median(rows: DataFrame, value: str, weight: str) -> DataFrame:
     """
     sums = rows.where(F.col(weight) > 0).groupBy(F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
     total = sums.agg(F.sum("w")).first()[0]
-    run = F.sum("w").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    return sums.withColumn("run", run).where(F.col("run") >= F.lit(0.5 * (total or 0.0))).agg(F.min("v").alias("weighted_median")).where("weighted_median is not null")
+    return numbered(sums, ["v"], "__i", F.col("w"), "run").where(F.col("run") >= F.lit(0.5 * (total or 0.0))).agg(F.min("v").alias("weighted_median")).where("weighted_median is not null")
 
 
 def conversion_factor(rows: DataFrame, slope_col: Column, truth: str) -> float:
@@ -132,10 +132,12 @@ def rank_sum(rows: DataFrame, group: str, first, second, value: str, keys: Seque
     """
     side = rows.where(F.col(group).isin(first, second) & F.col(value).isNotNull())
     counts = side.groupBy(*keys, F.col(value).alias("v")).agg(F.count_if(F.col(group) == first).alias("a"), F.count_if(F.col(group) == second).alias("b"))
-    order = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum(F.col("a") + F.col("b")).over(order), F.lit(0))
     t = F.col("a") + F.col("b")
-    ranked = counts.withColumn("__rank", below + (t + 1) / 2)
+    if keys:
+        counts = counts.withColumn("__upto", F.sum(t).over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        counts = numbered(counts, ["v"], "__i", t, "__upto")
+    ranked = counts.withColumn("__rank", F.col("__upto") - t + (t + 1) / 2)
     sums = ranked.groupBy(*keys).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * F.col("__rank")).alias("r1"), F.sum(t * t * t - t).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2

@@ -199,7 +199,7 @@ def concat_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def epoch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many groups as an epoch asks for: a sampling operator."""
-    return sp.epoch_concat_groups(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", count=500, epoch=1, passes=2)
+    return sp.epoch_concat_groups(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", count=500, epoch=1)
 
 
 def length_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,8 +311,8 @@ f AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS o_custkey, NULL::VARCHAR AS split,
 SELECT o_custkey, split FROM f WHERE k > 0""",
     "q_split_summary": f"""WITH s AS (SELECT c_custkey AS o_custkey, ('0x' || substr({_H("c_custkey")}, 1, 4))::INT AS x FROM customer)
 SELECT CASE WHEN x < 52429 THEN 'train' WHEN x < 58982 THEN 'dev' ELSE 'test' END AS split, count(DISTINCT o_custkey) AS groups, count(*) AS n, round(sum(o_totalprice), 2) AS total
-FROM orders JOIN s USING (o_custkey) WHERE o_custkey % 10 != 3 GROUP BY 1""",
-    "q_overlaps": """WITH p AS (SELECT DISTINCT l_suppkey, l_returnflag AS s FROM lineitem WHERE l_quantity >= 49) SELECT a.l_suppkey, a.s AS one, b.s AS two FROM p a JOIN p b ON a.l_suppkey = b.l_suppkey AND a.s < b.s""",
+FROM orders JOIN s USING (o_custkey) GROUP BY 1""",
+    "q_overlaps": """WITH p AS (SELECT DISTINCT l_suppkey, l_returnflag AS s FROM lineitem) SELECT a.l_suppkey, a.s AS one, b.s AS two FROM p a JOIN p b ON a.l_suppkey = b.l_suppkey AND a.s < b.s""",
     "q_fixed_groups": f"""WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY {_H("o_orderkey")}, o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
 SELECT o_custkey, o_orderkey, (k // 4)::INT AS part, (k % 4)::INT AS place FROM r WHERE k < n // 4 * 4""",
     "q_length_batches": """WITH p AS (SELECT doc_id, n_chars, ((row_number() OVER (ORDER BY sha256('42:0:' || doc_id), doc_id) - 1) // 256)::INT AS pool FROM documents),

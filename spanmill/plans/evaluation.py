@@ -145,7 +145,7 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rule = rules.Rule.of([{"metric": "peak", "op": ">=", "threshold": 0.2}, {"metric": "total", "op": "<", "threshold": 0.5}])
+    rule = [("peak", ">=", 0.2), ("total", "<", 0.5)]
     return rounded(rules.flagged(_metrics(spark, sf_dir), rule, ["vec_id"]).select("vec_id", "known", "peak", "total"))
 
 
@@ -155,8 +155,8 @@ def cover_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best conjunctions: a top-k report."""
-    conditions = [rules.Condition("power", ">=", 0.015), rules.Condition("peak", ">=", 0.25), rules.Condition("total", "<=", 1.0), rules.Condition("total", ">=", -1.0)]
-    return rules.candidate_rules(_metrics(spark, sf_dir), "known", conditions)
+    bounds = [("power", ">=", 0.015), ("peak", ">=", 0.25), ("total", "<=", 1.0), ("total", ">=", -1.0)]
+    return rules.candidate_rules(_metrics(spark, sf_dir), "known", bounds)
 
 
 QUERIES = {
@@ -239,9 +239,9 @@ t AS (SELECT l_linestatus, sum(c ** 3 - c) AS ties FROM (SELECT l_linestatus, v,
 z AS (SELECT l_linestatus, n1, n2, (r1 - n1 * (n1 + 1) / 2)::DOUBLE AS u, CASE WHEN n1 * n2 > 0 THEN (abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) END AS z FROM g JOIN t USING (l_linestatus)),
 q AS (SELECT *, greatest(z, 0) AS y, 1 / (1 + 0.2316419 * greatest(z, 0)) AS k FROM z)
 SELECT l_linestatus, n1, n2, round(u, 6) AS u, round(z, 6) AS z, round(least(2 * exp(-y * y / 2) / sqrt(2 * pi()) * k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429)))), 1), 6) AS p FROM q""",
-    "q_holm": """WITH r AS (SELECT p_partkey, CASE WHEN p_size % 9 != 0 THEN p_size / 2000.0::DOUBLE END AS p FROM part WHERE p_partkey <= 40),
-s AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, p_partkey) + 1) * p) AS st FROM r WHERE p IS NOT NULL),
-a AS (SELECT p_partkey, max(st) OVER (ORDER BY p, p_partkey ROWS UNBOUNDED PRECEDING) AS adjusted FROM s) SELECT p_partkey, round(p, 6) AS p, round(adjusted, 6) AS adjusted FROM r LEFT JOIN a USING (p_partkey)""",
+    "q_holm": """WITH r AS (SELECT p_partkey, p_brand, CASE WHEN p_size % 9 != 0 THEN p_size / 2000.0::DOUBLE END AS p FROM part),
+s AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY p_brand) - row_number() OVER (PARTITION BY p_brand ORDER BY p, p_partkey) + 1) * p) AS st FROM r WHERE p IS NOT NULL),
+a AS (SELECT p_partkey, max(st) OVER (PARTITION BY p_brand ORDER BY p, p_partkey ROWS UNBOUNDED PRECEDING) AS adjusted FROM s) SELECT p_partkey, round(p, 6) AS p, round(adjusted, 6) AS adjusted FROM r LEFT JOIN a USING (p_partkey)""",
     "q_batch_weights": """WITH r AS (SELECT l_orderkey, l_linenumber, least(1 + 2.0 * least(greatest(l_discount * 10, 0), 1), 2.5) AS raw FROM lineitem), w AS (SELECT l_linenumber, raw / avg(raw) OVER (PARTITION BY l_orderkey) AS weight FROM r)
 SELECT l_linenumber, round(avg(weight), 6) AS mean, round(max(weight), 6) AS most, count(*) AS n FROM w GROUP BY 1""",
     "q_dimension_stats": """WITH c AS (SELECT unnest(range(64))::INT AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings) SELECT dim, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max FROM c GROUP BY 1""",

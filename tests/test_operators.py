@@ -136,15 +136,28 @@ def test_validations(spark):
 
 def test_rules(spark):
     rows = spark.createDataFrame([("a", 0.95, 0.01), ("b", 0.95, 0.2), ("c", 0.1, 0.01), ("d", float("nan"), 0.01)], "id string, cer double, frac double")
-    rule = rules.Rule.of([{"metric": "cer", "op": ">=", "threshold": 0.9}, {"metric": "frac", "op": "<", "threshold": 0.05}])
+    rule = [("cer", ">=", 0.9), ("frac", "<", 0.05)]
     assert [r["id"] for r in rules.flagged(rows, rule, ["id"]).collect()] == ["a"]
-    with pytest.raises(ValueError, match="needs a condition"):
-        rules.Rule(())
+    with pytest.raises(ValueError, match="without bounds"):
+        rules.meets_all([])
+    with pytest.raises(ValueError, match="none of"):
+        rules.meets(("cer", "=", 0.9))
     known = rows.withColumn("known", F.col("id") == "a")
     found = {r["metric"]: (r["op"], r["threshold"]) for r in rules.covering_conditions(known, "known", ["cer", "frac"], 0.1).collect()}
     assert found["cer"] == (">=", pytest.approx(0.9))
 
 
+def test_rule_search_over_more_bounds_than_a_word_holds(spark):
+    data = [(i, float(i), i >= 90) for i in range(100)]
+    rows = spark.createDataFrame(data, "id int, x double, known boolean")
+    bounds = [("x", ">=", float(k)) for k in range(0, 100, 2)] + [("x", "<", float(k)) for k in range(1, 40, 2)]
+    got = {r["rule"]: (r["hits"], r["covered"]) for r in rules.candidate_rules(rows, "known", bounds, most=2, limit=10_000).collect()}
+    assert len(got) == 70 + 70 * 69 // 2
+    for text, (hits, covered) in list(got.items())[::37]:
+        met = [k for i, x, k in data if all(x >= float(t[3:]) if ">=" in t else x < float(t[2:]) for t in text.split("&"))]
+        assert (hits, covered) == (len(met) - sum(met), sum(met))
+
+
 def test_greedy_split_and_independence(spark):
     sizes = {f"g{i:02d}": 1 + (i * 7) % 40 for i in range(30)}
     groups = spark.createDataFrame(list(sizes.items()), "g string, n int")
