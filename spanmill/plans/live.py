@@ -99,7 +99,7 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_scheduler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """scheduler() over the stream of events. Arrivals of one instant count as one: the first by id."""
+    """scheduler() over the stream of events. Arrivals of one instant are in no order."""
     at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)") / 1e6
     rows = _stream(spark, sf_dir).select("user_id", at.alias("at"), F.floor(at).cast("long").alias("total"), (F.col("event_type") == "purchase").alias("busy"))
     out = _drained(spark, pace.stream_scheduled(rows, "user_id", "at", "total", "busy", 172_800, 21_600), "append")
