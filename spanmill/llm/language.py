@@ -257,4 +257,6 @@ def keep_identified(
     filters = fit_filters(spark, labelled_rows(docs, id_col, text_col, lang_col))
     if not filters.languages:
         return docs.where(F.coalesce(named(text_col).rlike(r"\p{L}"), F.lit(False)))
-    return docs.mapInArrow(_kept(spark.sparkContext.broadcast(filters), text_col, least_score), docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # mapInArrow takes no names with dots
+    kept = plain.mapInArrow(_kept(spark.sparkContext.broadcast(filters), f"c{docs.columns.index(text_col)}", least_score), plain.schema)
+    return kept.toDF(*docs.columns)
