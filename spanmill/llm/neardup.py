@@ -32,7 +32,7 @@ LEAST_AGREEMENT = 78
 LEAST_BLOCK, MOST_BLOCK = 128, 8192
 PART_BYTES = 32 << 20
 #: Members that share one copy of a hot centre.
-SALT_ROWS = 256
+SALT_ROWS = 64
 _U = np.uint64
 _rng = np.random.default_rng(424242)
 _MUL = _rng.integers(1 << 62, 1 << 63, PERMUTATIONS, dtype=np.uint64) | _U(1)
