@@ -82,6 +82,7 @@ def log_mel(x: np.ndarray, c: MelConfig = MEL) -> np.ndarray:
     return np.log(power @ mel_filters(c).astype(power.dtype) + power.dtype.type(c.offset))
 
 
+@functools.lru_cache(maxsize=16)
 def _butter(order: int, edges: tuple[float, float], rate: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """Second-order sections of a Butterworth band-pass by the bilinear transform."""
     low, high = (2 * rate * np.tan(np.pi * f / rate) for f in edges)
@@ -99,12 +100,36 @@ def _butter(order: int, edges: tuple[float, float], rate: float) -> list[tuple[n
     return [(b / gain ** (1 / len(sections)), a) for b, a in sections]
 
 
-def _section(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    y, z1, z2 = np.empty_like(x), 0.0, 0.0
-    for i, v in enumerate(x):
-        y[i] = out = b[0] * v + z1
+#: Samples that a recursive filter takes at once.
+BLOCK = 128
+
+
+@functools.lru_cache(maxsize=64)
+def _block(b: tuple[float, ...], a: tuple[float, ...]) -> tuple[np.ndarray, ...]:
+    """A second-order section over BLOCK samples as matrices, by running it on unit samples and on unit states:
+    samples -> outputs, state -> outputs, samples -> next state, state -> next state."""
+    runs = np.vstack([np.zeros((2, BLOCK)), np.eye(BLOCK)])
+    z1, z2 = np.zeros(BLOCK + 2), np.zeros(BLOCK + 2)
+    z1[0] = z2[1] = 1.0
+    y = np.empty_like(runs)
+    for i in range(BLOCK):
+        v = runs[:, i]
+        y[:, i] = out = b[0] * v + z1
         z1, z2 = b[1] * v - a[1] * out + z2, b[2] * v - a[2] * out
-    return y
+    end = np.stack([z1, z2], axis=1)
+    return y[2:], y[:2], end[2:], end[:2]
+
+
+def _section(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The section's output from rest; only the state between blocks is carried one by one."""
+    by_x, by_state, next_x, next_state = _block(tuple(b.tolist()), tuple(a.tolist()))
+    blocks = np.pad(x, (0, -x.size % BLOCK)).reshape(-1, BLOCK)
+    (p, q), (r, s) = next_state.tolist()
+    states, z1, z2 = [], 0.0, 0.0
+    for g1, g2 in (blocks @ next_x).tolist():
+        states.append((z1, z2))
+        z1, z2 = g1 + p * z1 + r * z2, g2 + q * z1 + s * z2
+    return (blocks @ by_x + np.array(states).reshape(-1, 2) @ by_state).ravel()[: x.size]
 
 
 def band_pass(x: np.ndarray, low: float, high: float, rate: float, order: int = 2) -> np.ndarray:
@@ -120,21 +145,37 @@ def band_pass(x: np.ndarray, low: float, high: float, rate: float, order: int =
     return y[pad : pad + x.size]
 
 
+def _bases(heights: np.ndarray, lows: np.ndarray) -> np.ndarray:
+    """For each height the least value back to the nearest greater height, or to the start; lows[k] is the least value
+    from height k - 1 up to height k."""
+    out, higher = np.empty(heights.size), []
+    for k, (height, low) in enumerate(zip(heights.tolist(), lows.tolist(), strict=True)):
+        while higher and higher[-1][0] <= height:
+            low = min(low, higher.pop()[1])
+        higher.append((height, low))
+        out[k] = low
+    return out
+
+
 def peak_count(x: np.ndarray, prominence: float, distance: int, active: np.ndarray | None = None) -> int:
     """Local maxima, thinned to the higher ones within `distance`, of at least a prominence, where active."""
     rise = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] >= x[2:])) + 1
-    kept: list[int] = []
-    for i in sorted(rise, key=lambda i: (-x[i], i)):
-        if all(abs(i - j) >= distance for j in kept):
-            kept.append(int(i))
-    count = 0
-    for i in kept:
-        above = np.flatnonzero(x > x[i])
-        left, right = above[above < i], above[above > i]
-        base_l = x[(left[-1] if left.size else 0) : i + 1].min()
-        base_r = x[i : (right[0] if right.size else x.size - 1) + 1].min()
-        count += bool(x[i] - max(base_l, base_r) >= prominence and (active is None or active[i]))
-    return count
+    if rise.size == 0:
+        return 0
+    near, kept = np.zeros(x.size, bool), np.zeros(rise.size, bool)
+    for k in np.lexsort((rise, -x[rise])).tolist():
+        at = int(rise[k])
+        if not near[at]:
+            kept[k] = True
+            near[max(0, at - distance + 1) : at + distance] = True
+    # Maxima and both ends; what lies between two of them is never a peak's wall, only its valley.
+    nodes = np.concatenate(([0], rise, [x.size - 1]))
+    valleys = np.minimum.reduceat(x, nodes)
+    heights = x[nodes]
+    left = _bases(heights, np.concatenate((heights[:1], np.minimum(valleys[:-1], heights[1:]))))
+    right = _bases(heights[::-1], np.concatenate((valleys[-1:], valleys[:-1][::-1])))[::-1]
+    tall = heights - np.maximum(left, right) >= prominence
+    return int(np.sum(kept & tall[1:-1] & (True if active is None else active[rise])))
 
 
 def reverberated(x: np.ndarray, response: np.ndarray) -> np.ndarray:
