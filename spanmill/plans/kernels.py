@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import arrays as ar
 from spanmill.functions import signal as sg
+from spanmill.functions import waveforms as wf
+from spanmill.functions.numeric import drawn_between, hash_uniform
 from spanmill.operators import stats
 from spanmill.plans.inputs import WAVES_SQL, r6, rounded, waves
 
@@ -89,6 +91,26 @@ def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("vec_id", r6(ar.power(band)).alias("band"), F.size(wet).alias("wet"), sg.syllable_udf(61.0, 2.0, 10.0, 0.5, 0.05)(level).alias("syllables"))
 
 
+def stretched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each waveform, tiled to 0.1 s, lengthened by a phase vocoder and sped up by overlapping pieces, by factors drawn by
+    its id: lengths and powers."""
+    factor = F.round(0.7 + F.pmod("vec_id", F.lit(13)) / 20, 2)
+    rows = waves(spark, sf_dir).select("vec_id", factor.alias("factor"), ar.fitted(F.col("x"), F.lit(1600), F.lit(0)).alias("y"))
+    rows = rows.select("vec_id", "factor", wf.stretched_udf("y", "factor").alias("a"), wf.sped_up_udf("y", "factor").alias("b"))
+    return rows.select("vec_id", "factor", F.size("a").alias("stretched"), F.size("b").alias("sped_up"), r6(ar.power(F.col("a"))).alias("a_power"), r6(ar.power(F.col("b"))).alias("b_power"))
+
+
+def room_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A room for each waveform, drawn by its id: the response's length, its direct sound's place and its power."""
+    u = lambda name, low, high: drawn_between(hash_uniform(F.lit(name), F.col("vec_id").cast("string")), low, high)
+    size = F.array(u("x", 3.0, 10.0), u("y", 3.0, 10.0), u("z", 2.3, 4.0))
+    inside = lambda name: F.transform("size", lambda v, i: 0.5 + u(name, 0.0, 1.0) * (v - 1.0) * (1 - i / 10))
+    rooms = waves(spark, sf_dir).select("vec_id", size.alias("size"), u("rt60", 0.2, 0.7).alias("rt60"))
+    rooms = rooms.select("vec_id", "size", inside("source").alias("source"), inside("mic").alias("mic"), "rt60")
+    rows = rooms.select("vec_id", "rt60", wf.room_response_udf()("size", "source", "mic", "rt60").alias("h"))
+    return rows.select("vec_id", r6(F.col("rt60")).alias("rt60"), F.size("h").alias("samples"), (F.array_position("h", F.array_max("h")) - 1).alias("loudest"), r6(ar.power(F.col("h"))).alias("power"))
+
+
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forced alignment of three tokens to 16 frames of four classes."""
     rows = waves(spark, sf_dir).select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("x", i * 4 + 1, F.lit(4))).alias("e"))
@@ -109,6 +131,8 @@ QUERIES = {
     "q_log_mel": log_mel,
     "q_filters": filters,
     "q_alignment": alignment,
+    "q_stretched": stretched,
+    "q_room_responses": room_responses,
 }
 
 _P = lambda x: f"(list_sum(list_transform({x}, lambda v: v * v)) / len({x}))"
