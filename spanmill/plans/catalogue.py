@@ -37,6 +37,21 @@ def catalog_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ca.with_reason(_documents(spark, sf_dir), _rules()).select("doc_id", "units", "duration", "reason")
 
 
+def built_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue from transcripts, durations and readings, all made of parts: names are sentences, their vowels the
+    readings, sizes the seconds. Some have blank sentences, odd votes, long numbers, unread letters or no duration."""
+    k, every = F.col("p_partkey"), lambda n: F.col("p_partkey") % n == 0
+    parts = table(spark, sf_dir, "part").withColumn("path", F.concat(F.lit("clips/part."), k, F.lit(".mp3")))
+    said = F.when(every(17), F.lit("  ")).when(every(11), F.concat("p_name", F.lit(" "), 2000 + k % 7)).otherwise(F.concat(F.lit(" "), "p_name"))
+    votes = F.when(every(23), F.lit("x")).otherwise((k % 4).cast("string"))
+    transcripts = parts.select("path", said.alias("sentence"), (F.col("p_size") % 4 + 1).cast("string").alias("up_votes"), votes.alias("down_votes"))
+    durations = parts.where(k % 13 != 0).select("path", F.when(every(19), F.lit(0.0)).otherwise(F.col("p_size") / 10.0).alias("duration"))
+    read = F.translate(F.regexp_replace("sentence", "[^aiueobAIUEO]", ""), "aiueo", "アイウエオ")
+    readings = transcripts.select(F.trim("sentence").alias("sentence")).distinct().withColumn("kana", read)
+    out = ca.build_catalog(transcripts, durations, readings)
+    return out.select("item_id", "sentence", "reason", F.col("units").cast("long").alias("units"), r6(F.col("duration")).alias("duration"), r6(F.col("rate")).alias("rate"))
+
+
 def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ca.reason_counts(_documents(spark, sf_dir), _rules())
 
@@ -223,6 +238,7 @@ def rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "q_catalog_reasons": catalog_reasons,
     "q_reason_counts": reason_counts,
+    "q_built_catalog": built_catalog,
     "q_selection_reasons": selection_reasons,
     "q_selection_report": selection_report,
     "q_overlapping_reasons": overlapping_reasons,
@@ -269,6 +285,12 @@ alloc AS (SELECT p_brand, w, (floor(x) + (row_number() OVER (ORDER BY round(x -
 ORACLES = {
     "q_catalog_reasons": f"WITH {_DOCS} SELECT doc_id, units, duration, {_REASON} AS reason FROM docs",
     "q_reason_counts": f"WITH {_DOCS} SELECT coalesce({_REASON}, 'kept') AS reason, count(*) AS n FROM docs GROUP BY 1",
+    "q_built_catalog": """WITH t AS (SELECT p_partkey AS k, p_size, trim(CASE WHEN p_partkey % 17 = 0 THEN '  ' WHEN p_partkey % 11 = 0 THEN p_name || ' ' || (2000 + p_partkey % 7) ELSE ' ' || p_name END) AS sentence,
+  p_size % 4 + 1 AS up, CASE WHEN p_partkey % 23 <> 0 THEN p_partkey % 4 END AS down, CASE WHEN p_partkey % 13 <> 0 THEN CASE WHEN p_partkey % 19 = 0 THEN 0.0::DOUBLE ELSE p_size / 10.0::DOUBLE END END AS duration FROM part),
+u AS (SELECT *, length(regexp_replace(sentence, '[^aiueo]', '', 'g')) AS units, CASE WHEN duration <> 0 THEN length(regexp_replace(sentence, '[^aiueo]', '', 'g')) / duration END AS rate FROM t)
+SELECT 'part.' || k AS item_id, sentence, CASE WHEN down IS NULL OR down >= up THEN 'down_votes' WHEN sentence = '' THEN 'empty_sentence' WHEN regexp_matches(sentence, '[bAIUEO]') THEN 'unconverted'
+  WHEN regexp_matches(sentence, '[0-9]{3}') THEN 'long_digit_run' WHEN duration IS NULL OR duration <= 0 THEN 'missing_duration' WHEN rate < 1 OR rate > 12 THEN 'outlier' END AS reason,
+  units, round(duration, 6) AS duration, round(rate, 6) AS rate FROM u""",
     "q_selection_reasons": f"WITH {_SELECTED} SELECT doc_id, pending, array_to_string(reasons, '+') AS reasons, reasons[1] AS primary_reason FROM sel",
     "q_selection_report": f"""WITH {_SELECTED} SELECT CASE WHEN pending THEN 'pending' WHEN len(reasons) > 0 THEN 'excluded' ELSE 'usable' END AS status, CASE WHEN NOT pending THEN reasons[1] END AS reason,
   {BAND_SQL.format("rate")} AS band, count(*) AS n FROM sel GROUP BY ALL""",
