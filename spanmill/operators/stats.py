@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanmill.operators.ordering import numbered
 from spanmill.functions.numeric import hash_uniform
@@ -49,26 +50,31 @@ def slope(rows: DataFrame, y: str, x: str, z: str, keys: Sequence[str] = (), lea
     return stats.select(*keys, "n", F.when(F.col("n") >= least, value).alias("slope"))
 
 
-def joint_regression(rows: DataFrame, y: str, xs: Sequence[str], cluster: str, reps: int = 200, seed: int = 42) -> DataFrame:
-    """(name, coef, low, high) of y ~ 1 + xs, with 95 % intervals from resampling clusters with replacement.
+def joint_regression(rows: DataFrame, y: str, xs: Sequence[str], cluster: str, reps: int = 200, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, name, coef, low, high) of y ~ 1 + xs, with 95 % intervals from resampling clusters with replacement.
 
-    Each cluster is reduced to X'X and X'y in Spark. A replicate weighs clusters by Poisson(1) draws hashed from
-    (seed, replicate, cluster), which resamples without a global draw: the weighted sums are one partially aggregated
-    shuffle of reps x p x p numbers, and only those `reps` + 1 small systems are solved in Python.
+    Each cluster is reduced to X'X and X'y in Spark, and the k clusters of a key are numbered. A replicate is k draws,
+    hashed from (seed, keys, replicate, number of the draw), each of which names a cluster; a cluster's weight is how
+    often it is named. Draws are counted where they are made, the weighted sums are one partially aggregated shuffle of
+    reps x p x p numbers a key, and only those small systems are solved in Python.
     """
     names = ["intercept", *xs]
     col = lambda n: F.lit(1.0) if n == "intercept" else F.col(n).cast("double")
     cells = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     sums = [F.sum(col(names[i]) * col(names[j])).alias(f"a{i}_{j}") for i, j in cells] + [F.sum(col(n) * F.col(y)).alias(f"b{i}") for i, n in enumerate(names)]
-    per = rows.groupBy(cluster).agg(*sums)
-    cols = [c for c in per.columns if c != cluster]
-    u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col(cluster).cast("string")), 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    cdf = np.cumsum([np.exp(-1.0) / np.prod(range(1, k + 1), initial=1.0) for k in range(12)])
-    times = sum(((u >= float(c)).cast("int") for c in cdf), F.lit(0))
-    weight = F.when(F.col("rep") == 0, F.lit(1)).otherwise(times)
-    drawn = per.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("__w", weight).where("__w > 0")
-    boot = drawn.groupBy("rep").agg(*(F.sum(F.col(c) * F.col("__w")).alias(c) for c in cols))
+    per = numbered(rows.groupBy(*keys, cluster).agg(*sums), [*keys, cluster], "__i")
+    cols = [c for c in per.columns if c not in (*keys, cluster, "__i")]
+    ranges = per.groupBy(*keys).agg(F.min("__i").alias("__first"), F.count(F.lit(1)).alias("__k"))
+    alike = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    placed = per.select(*keys, "__i").alias("a").join(ranges.alias("b"), alike or F.lit(True)).select("a.*", "b.__first", "b.__k")
+    draws = placed.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    u = hash_uniform(F.lit(str(seed)), *(F.col(c).cast("string") for c in (*keys, "rep")), (F.col("__i") - F.col("__first")).cast("string"))
+    named = draws.groupBy("rep", (F.col("__first") + F.floor(u * F.col("__k"))).alias("__i")).agg(F.count(F.lit(1)).alias("__w"))
+    whole = per.select("__i", F.lit(0).alias("rep"), F.lit(1).cast("long").alias("__w"))
+    drawn = per.join(named.select("__i", "rep", "__w").unionByName(whole), "__i")
+    boot = drawn.groupBy(*keys, "rep").agg(*(F.sum(F.col(c) * F.col("__w")).alias(c) for c in cols))
     p = len(names)
+    fields = T.StructType([*(f for f in boot.schema.fields if f.name in (*keys, "rep")), T.StructField("name", T.StringType()), T.StructField("value", T.DoubleType())])
 
     def solve(batches):
         for pdf in batches:
@@ -80,12 +86,22 @@ def joint_regression(rows: DataFrame, y: str, xs: Sequence[str], cluster: str, r
                     coef = np.linalg.solve(a, b)
                 except np.linalg.LinAlgError:
                     coef = np.full(p, np.nan)
-                yield pd.DataFrame({"rep": int(r["rep"]), "name": names, "value": coef})
+                yield pd.DataFrame({**{k: [r[k]] * p for k in keys}, "rep": int(r["rep"]), "name": names, "value": coef})
 
-    solved = boot.mapInPandas(solve, "rep int, name string, value double").where("not isnan(value)")
+    solved = boot.mapInPandas(solve, fields).where("not isnan(value)")
     ends = F.percentile(F.when(F.col("rep") > 0, F.col("value")), F.array(F.lit(0.025), F.lit(0.975)))
-    out = solved.groupBy("name").agg(F.max(F.when(F.col("rep") == 0, F.col("value"))).alias("coef"), ends.alias("__e"))
-    return out.select("name", "coef", F.get("__e", F.lit(0)).alias("low"), F.get("__e", F.lit(1)).alias("high"))
+    out = solved.groupBy(*keys, "name").agg(F.max(F.when(F.col("rep") == 0, F.col("value"))).alias("coef"), ends.alias("__e"))
+    return out.select(*keys, "name", "coef", F.get("__e", F.lit(0)).alias("low"), F.get("__e", F.lit(1)).alias("high"))
+
+
+def band_analysis(rows: DataFrame, y: str, xs: Sequence[str], truth: str, cluster: str, band: str, reps: int = 200, seed: int = 42) -> DataFrame:
+    """Per band and variable: n, the means of y and of the variable, its correlation with the truth, and its coefficient
+    in y ~ 1 + variable + truth with the interval of joint_regression(). Rows without the variable do not count for it."""
+    each = F.explode(F.array(*(F.struct(F.lit(x).alias("variable"), F.col(x).cast("double").alias("x")) for x in xs))).alias("v")
+    long = rows.select(band, F.col(cluster), F.col(y), F.col(truth), each).select(band, cluster, y, truth, "v.*").where("x is not null")
+    means = long.groupBy(band, "variable").agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("bias"), F.avg("x").alias("mean"), F.corr("x", truth).alias("corr"))
+    found = joint_regression(long, y, ["x", truth], cluster, reps, seed, [band, "variable"]).where("name = 'x'")
+    return means.join(found.select(band, "variable", F.col("coef").alias("slope"), "low", "high"), [band, "variable"], "left")
 
 
 def group_table(rows: DataFrame, code: Column, groups: int, truth: str = "truth", bias: str = "bias", adj: str = "adjusted") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanmill.functions.arrays import power
-from spanmill.functions.numeric import BAND_KEYS, digitized
+from spanmill.functions.numeric import BAND_KEYS, band, digitized
 from spanmill.operators import metrics as me
 from spanmill.operators import registry, rules, stats
 from spanmill.plans.inputs import BAND_SQL, BANDS_SQL, BIN_SQL, BINS_SQL, JUDGED_SQL, event_spans, judged, rounded, table, waves
@@ -68,6 +68,12 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.joint_regression(rows, "bias", ["l_discount", "l_tax", "truth"], "l_suppkey")
 
 
+def band_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discount and tax by band of the truth, resampled by supplier."""
+    rows = judged(spark, sf_dir).withColumn("bias", F.col("pred") - F.col("truth")).withColumn("band", band(F.col("truth")))
+    return rounded(stats.band_analysis(rows, "bias", ["l_discount", "l_tax"], "truth", "l_suppkey", "band"))
+
+
 def regression_coefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full-sample coefficients of the same regression with two columns, which SQL can give too."""
     rows = judged(spark, sf_dir).withColumn("bias", F.col("pred") - F.col("truth"))
@@ -172,6 +178,7 @@ QUERIES = {
     "q_adjusted_bias": adjusted_bias,
     "q_group_table": group_table,
     "q_bootstrap_ci": bootstrap_ci,
+    "q_band_analysis": band_analysis,
     "q_regression_coefs": regression_coefs,
     "q_log_fences": log_fences,
     "q_log_fences_all": log_fences_all,
@@ -227,6 +234,17 @@ SELECT condition, n, CASE WHEN n >= 10 THEN round((xy * zz - zy * xz) / (xx * zz
 SELECT i::INT AS grp, coalesce(n, 0) AS n, truth_mean, bias, adj_bias FROM range(5) t(i) LEFT JOIN g ON g.grp = i""",
     "q_regression_coefs": f"""WITH {JUDGED_SQL}, c AS (SELECT var_pop(l_discount) AS xx, var_pop(truth) AS zz, covar_pop(l_discount, truth) AS xz, covar_pop(l_discount, pred - truth) AS xy, covar_pop(truth, pred - truth) AS zy FROM judged)
 SELECT 'l_discount' AS name, round((xy * zz - zy * xz) / (xx * zz - xz * xz), 6) AS coef FROM c""",
+    "q_band_analysis": f"""WITH {JUDGED_SQL}, l AS (SELECT {BAND_SQL.format("truth")} AS band, l_suppkey AS c, truth AS z, pred - truth AS y, unnest(['l_discount', 'l_tax']) AS variable, unnest([l_discount, l_tax]) AS x FROM judged),
+per AS (SELECT band, variable, c, count(*)::DOUBLE AS n, sum(x) AS x, sum(z) AS z, sum(y) AS y, sum(x * x) AS xx, sum(z * z) AS zz, sum(x * z) AS xz, sum(x * y) AS xy, sum(z * y) AS zy,
+  row_number() OVER (PARTITION BY band, variable ORDER BY c) - 1 AS i, count(*) OVER (PARTITION BY band, variable) AS k FROM l GROUP BY 1, 2, 3),
+d AS (SELECT band, variable, rep, floor(('0x' || substr(sha256('42:' || band || ':' || variable || ':' || rep || ':' || i), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * k)::BIGINT AS i FROM per, range(1, 201) t(rep)),
+w AS (SELECT band, variable, rep, i, count(*) AS w FROM d GROUP BY ALL UNION ALL SELECT band, variable, 0, i, 1 FROM per),
+b AS (SELECT band, variable, rep, {", ".join(f"sum(w * {v}) AS {v}" for v in ("n", "x", "z", "y", "xx", "zz", "xz", "xy", "zy"))} FROM w JOIN per USING (band, variable, i) GROUP BY ALL),
+m AS (SELECT band, variable, rep, xx - x * x / n AS xx, zz - z * z / n AS zz, xz - x * z / n AS xz, xy - x * y / n AS xy, zy - z * y / n AS zy FROM b),
+f AS (SELECT band, variable, rep, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS v FROM m),
+g AS (SELECT band, variable, max(v) FILTER (rep = 0) AS slope, quantile_cont(v, 0.025) FILTER (rep > 0) AS low, quantile_cont(v, 0.975) FILTER (rep > 0) AS high FROM f GROUP BY ALL)
+SELECT band, variable, count(*) AS n, round(avg(y), 6) AS bias, round(avg(x), 6) AS mean, round(corr(x, z), 6) AS corr, round(any_value(slope), 6) AS slope, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high
+FROM l JOIN g USING (band, variable) GROUP BY 1, 2""",
     "q_log_fences": _FENCE.format("WITH g AS (SELECT event_type, date_diff('microsecond', ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS gap FROM events),", "event_type", "gap", "g", "k AS event_type,"),
     "q_log_fences_all": _FENCE.format("WITH", "1", "o_totalprice", "orders", ""),
     "q_weighted_median": """WITH v AS (SELECT p_retailprice AS v, sum(p_size) AS w FROM part WHERE p_size > 0 GROUP BY 1), r AS (SELECT v, sum(w) OVER (ORDER BY v) AS run, sum(w) OVER () AS t FROM v) SELECT min(v) AS weighted_median FROM r WHERE run >= 0.5 * t""",
