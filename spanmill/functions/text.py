@@ -142,17 +142,19 @@ def error_rate(ref: Column, hyp: Column) -> Column:
 
 @F.pandas_udf(T.IntegerType())
 def token_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """Edit distance of token arrays."""
+    """Edit distance of token arrays: a row of the table at a time; insertions are a running minimum along the row."""
 
     def one(a, b):
         if a is None or b is None:
             return None
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            diagonal, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-        return row[-1]
+        ids: dict = {}
+        x, y = (np.array([ids.setdefault(t, len(ids)) for t in v], np.int64) for v in (a, b))
+        steps = np.arange(y.size + 1)
+        row = steps
+        for i, token in enumerate(x, 1):
+            best = np.minimum(row[1:] + 1, row[:-1] + (y != token))
+            row = np.minimum.accumulate(np.concatenate(([i], best)) - steps) + steps
+        return int(row[-1])
 
     return pd.Series([one(a, b) for a, b in zip(ref, hyp, strict=True)], dtype="Int32")
 

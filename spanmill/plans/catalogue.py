@@ -282,7 +282,14 @@ _H = lambda *k: "sha256('42:' || " + " || ':' || ".join(f"{x}::VARCHAR" for x in
 _ALLOC = """sizes AS (SELECT p_brand, count(*) AS w FROM part GROUP BY 1), ex AS (SELECT *, 150 * w / sum(w) OVER () AS x FROM sizes),
 alloc AS (SELECT p_brand, w, (floor(x) + (row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, p_brand) <= 150 - sum(floor(x)) OVER ())::INT)::BIGINT AS allocated FROM ex)"""
 
+_DRAW = "('0x' || substr(sha256('42.0:{0}:' || o_custkey || ':' || o_orderkey), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
 ORACLES = {
+    "q_concat_groups": f"""WITH RECURSIVE k AS (SELECT o_custkey, o_orderkey, sha256('42.0:' || o_custkey || ':' || o_orderkey) AS h, {_DRAW.format("size")} AS u, {_DRAW.format("gap")} AS v FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY h, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM k),
+r AS (SELECT o_custkey, n, 0::BIGINT AS part, 0::BIGINT AS first, least(3 + floor(u * 3)::BIGINT, n) AS take FROM n WHERE i = 0 AND n >= 3 UNION ALL
+  SELECT o_custkey, r.n, part + 1, first + take, least(3 + floor(u * 3)::BIGINT, r.n - first - take) FROM r JOIN n USING (o_custkey) WHERE i = first + take AND r.n - first - take >= 3)
+SELECT o_custkey, o_orderkey, part::INT AS part, (i - first)::INT AS place, (CASE WHEN i = first + take - 1 THEN 0 ELSE (1 + floor(v * 10)) * 1600 END)::BIGINT AS gap FROM n JOIN r USING (o_custkey) WHERE i >= first AND i < first + take""",
     "q_catalog_reasons": f"WITH {_DOCS} SELECT doc_id, units, duration, {_REASON} AS reason FROM docs",
     "q_reason_counts": f"WITH {_DOCS} SELECT coalesce({_REASON}, 'kept') AS reason, count(*) AS n FROM docs GROUP BY 1",
     "q_built_catalog": """WITH t AS (SELECT p_partkey AS k, p_size, trim(CASE WHEN p_partkey % 17 = 0 THEN '  ' WHEN p_partkey % 11 = 0 THEN p_name || ' ' || (2000 + p_partkey % 7) ELSE ' ' || p_name END) AS sentence,

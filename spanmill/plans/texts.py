@@ -53,8 +53,8 @@ def nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark text against the next one by id; ASCII only, since the oracle measures bytes."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("text"))
+    """Each benchmark text against the next one by id."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
     pairs = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("hyp")), "item_id")
     return pairs.select("item_id", F.levenshtein("text", "hyp").alias("distance"), r6(tx.error_rate(F.col("text"), F.col("hyp"))).alias("cer"))
 
@@ -65,6 +65,14 @@ def token_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("item_id", tx.token_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
+def word_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of the readings of a text's words: words with any, units, the longest word."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("words"))
+    kana = F.transform("words", lambda w: F.translate(F.regexp_replace(w, f"[^{LETTERS}]", ""), LETTERS, READING))
+    n = words.select("doc_id", tx.word_lengths(kana).alias("n"))
+    return n.select("doc_id", F.size("n").alias("words"), F.aggregate("n", F.lit(0).cast("long"), lambda a, v: a + v).alias("units"), F.coalesce(F.array_max("n"), F.lit(0)).cast("long").alias("longest"))
+
+
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     url = F.regexp_replace("url", "[?#].*$", "")
@@ -138,6 +146,7 @@ QUERIES = {
     "q_nfkc": nfkc,
     "q_cer": cer,
     "q_token_distance": token_distance,
+    "q_word_lengths": word_lengths,
     "q_names": names,
     "q_scalars": scalars,
     "q_hash_draws": hash_draws,
@@ -162,8 +171,18 @@ ORACLES = {
     "q_special_shares": f"""WITH {_UNITS}, s AS (SELECT doc_id, CASE WHEN len(u) < 1 THEN 0 ELSE {_SPECIAL}::DOUBLE / len(u) END AS share, {_SPECIAL}::INT AS flagged FROM un)
 SELECT doc_id, round(share, 6) AS share, least(greatest(floor(round(share, 9) * 10), 0), 9)::INT AS tenth, flagged FROM s""",
     "q_text_normalise": r"""SELECT doc_id, md5(trim(regexp_replace(text, '[\s\x0B]+', ' ', 'g'))) AS line, md5(regexp_replace(text, '[\p{P}\p{Z}\p{C}]', '', 'g')) AS reading, regexp_matches(text, '[0-9][0-9][0-9]') AS digits FROM documents""",
-    "q_cer": """WITH t AS (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM benchmark) SELECT a.item_id, levenshtein(a.text, b.text)::INT AS distance, round(CASE WHEN a.text = '' THEN (b.text != '')::INT ELSE levenshtein(a.text, b.text) / length(a.text) END, 6) AS cer
+    # DuckDB measures bytes: the table's characters beyond ASCII get control characters of their own, which keeps distances.
+    "q_cer": """WITH c AS (SELECT c, row_number() OVER (ORDER BY c) AS k FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\\x00-\\x7F]')) AS c FROM benchmark)),
+m AS (SELECT coalesce(string_agg(c, '' ORDER BY k), '') AS a, coalesce(string_agg(chr((CASE WHEN k < 9 THEN k ELSE k + 5 END)::INT), '' ORDER BY k), '') AS b FROM c),
+t AS (SELECT item_id, translate(text, a, b) AS text FROM benchmark, m) SELECT a.item_id, levenshtein(a.text, b.text)::INT AS distance, round(CASE WHEN a.text = '' THEN (b.text != '')::INT ELSE levenshtein(a.text, b.text) / length(a.text) END, 6) AS cer
 FROM t a JOIN t b ON b.item_id = a.item_id + 1""",
+    "q_token_distance": """WITH RECURSIVE t AS (SELECT item_id, string_split(text, ' ') AS x FROM benchmark), p AS (SELECT a.item_id, a.x AS a, b.x AS b FROM t a JOIN t b ON b.item_id = a.item_id + 1),
+r AS (SELECT item_id, a, b, 0::BIGINT AS i, range(0, len(b) + 1) AS d FROM p UNION ALL
+  SELECT item_id, a, b, i + 1, list_transform(range(1, len(b) + 2), lambda j: list_min(list_transform(range(1, j + 1), lambda k: e[k] + j - k)))
+  FROM (SELECT *, list_concat([i + 1], list_transform(range(1, len(b) + 1), lambda j: least(d[j + 1] + 1, d[j] + (a[i + 1] != b[j])::BIGINT))) AS e FROM r WHERE i < len(a)))
+SELECT item_id, d[len(b) + 1]::INT AS distance FROM r WHERE i = len(a)""",
+    "q_word_lengths": f"""WITH w AS (SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda v: len(regexp_extract_all(translate(regexp_replace(v, '[^{LETTERS}]', '', 'g'), '{LETTERS}', '{READING}'), '[アエイオウーンッ][ャョ]?|[ャョ]'))), lambda n: n > 0) AS n FROM documents)
+SELECT doc_id, len(n)::INT AS words, coalesce(list_sum(n), 0)::BIGINT AS units, coalesce(list_max(n), 0)::BIGINT AS longest FROM w""",
     "q_names": r"""SELECT page_id, regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]*$'), '(.)\.[^.]*$', '\1') AS stem, left(regexp_replace(url, '[^\p{L}\p{N}_-]', '', 'g'), 10) AS head,
   'x' || regexp_replace(((page_id % 5) / 2)::VARCHAR, '\.0$', '') AS condition, 'dev_snr' || (page_id % 3 * 5)::VARCHAR || 'db' AS noisy FROM pages""",
     "q_scalars": """WITH o AS (SELECT o_orderkey, o_totalprice / 31415.926535::DOUBLE AS x FROM orders)
