@@ -227,6 +227,21 @@ def ctc_loss(emission: np.ndarray, tokens: Sequence[int], blank: int) -> float:
     return float(-np.logaddexp(score[-1], score[-2]) if states.size > 1 else -score[-1])
 
 
+def ctc_loss_udf(blank: int):
+    """(emission, tokens) -> ctc_loss(); null without frames."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(emission: pd.Series, tokens: pd.Series) -> pd.Series:
+        def one(e, t):
+            if e is None or t is None or not len(e):
+                return None
+            return ctc_loss(np.array([np.asarray(r, np.float64) for r in e]), [int(x) for x in t], blank)
+
+        return pd.Series([one(e, t) for e, t in zip(emission, tokens, strict=True)], dtype="float64")
+
+    return run
+
+
 def log_mel_udf(c: MelConfig = MEL):
     """samples -> frames of mels. Arrow in and out: no Python object per frame or number."""
 

@@ -160,6 +160,20 @@ def window_in_excerpt(start: Column, excerpt_start: Column, stretch: Column, exc
     return F.greatest(F.least(at, excerpt_length - window), F.lit(0).cast("long"))
 
 
+def excerpt_labels(spans: DataFrame, plans: DataFrame, window: int) -> DataFrame:
+    """Labels of windows of stretched excerpts: of each span the part inside the window, summed.
+
+    plans: one row a window, with source_id, stretch and stretch_plan()'s excerpt_start and window_start; spans:
+    source_id, start, end, in samples of the source. Spans are moved and stretched as the excerpt is. One equi-join and
+    one partially aggregated sum by plan; a window without spans has 0.
+    """
+    keys = plans.columns
+    at = lambda c: (F.col(c) - F.col("excerpt_start")) * F.col("stretch")
+    moved = plans.join(spans.select("source_id", "start", "end"), "source_id", "left").withColumn("start", at("start")).withColumn("end", at("end"))
+    part = overlap_fraction(F.col("start"), F.col("end"), F.col("window_start"), window)
+    return moved.groupBy(*keys).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("label"))
+
+
 def least_stretch(low: float, length: Column, window: int) -> Column:
     """The least stretch from `low` on that leaves room for a window."""
     return F.greatest(F.lit(low), F.lit(float(window)) / length)
@@ -178,6 +192,12 @@ def first_passing(candidates: DataFrame, keys: Sequence[str], passes: Column, at
     return best.select(*keys, "__best.row.*")
 
 
+def window_rates(rows: DataFrame, size: float, rate: int, start: str = "window_start", value: str = "pred") -> DataFrame:
+    """Windows' predictions as times and rates: start_sec, end_sec and per_sec; `size` in seconds, starts in samples."""
+    begin = F.col(start) / rate
+    return rows.withColumn("start_sec", begin).withColumn("end_sec", begin + size).withColumn("per_sec", F.col(value) / size)
+
+
 def split_consistency(windows: DataFrame, whole: DataFrame) -> DataFrame:
     """Sums of window predictions against the prediction of the whole: (source_id, windows, total, whole, difference)."""
     sums = windows.groupBy("source_id").agg(F.count(F.lit(1)).alias("windows"), F.sum("pred").alias("total"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanmill.functions.numeric import rate_after_stretch
 from spanmill.operators import metrics as me
 from spanmill.operators import windows as wi
 from spanmill.plans.inputs import BAND_SQL, BANDS_SQL, BIN_SQL, BINS_SQL, EVENTS_SQL, HOP, SIZE, event_sources, event_spans, labels_sql, r6, rounded, table
@@ -107,13 +108,31 @@ def flagged_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stretch_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("n_chars >= 1600").select("doc_id", F.col("n_chars").alias("n"))
-    stretch = F.lit(0.75) + (F.col("doc_id") % 3) * F.lit(0.25)
+    """A window at 100 of each document, stretched by at least as much as leaves room for it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("n"))
+    low = wi.least_stretch(0.5, F.col("n"), 900)
+    stretch = F.greatest(F.lit(0.75) + (F.col("doc_id") % 3) * F.lit(0.25), low)
     plan = wi.stretch_plan(F.col("n"), stretch, F.lit(100).cast("long"), 800, 50)
-    low = wi.least_stretch(0.5, F.col("n"), 800)
     return docs.select("doc_id", plan.alias("p"), r6(low).alias("least_stretch")).select("doc_id", "p.*", "least_stretch")
 
 
+def excerpt_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of one stretched window per user, a third into the timeline of their events."""
+    third = event_sources(spark, sf_dir).withColumn("stretch", F.lit(0.75) + (F.col("source_id") % 3) * F.lit(0.25))
+    start = F.floor(F.col("length") * F.col("stretch") / 3).cast("long")
+    plan = wi.stretch_plan(F.floor("length").cast("long"), F.col("stretch"), start, int(SIZE), int(HOP))
+    plans = third.select("source_id", "stretch", plan.alias("p")).select("source_id", "stretch", "p.excerpt_start", "p.window_start")
+    return rounded(wi.excerpt_labels(event_spans(spark, sf_dir), plans, int(SIZE)), "label").select("source_id", "window_start", "label")
+
+
+def kept_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window's start in each line item's room after another draw of the stretch, and the rate after it."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("q"), (1 + F.col("l_discount")).alias("stretch"))
+    old, new = F.col("l_partkey") % 97, F.bround((F.col("l_partkey") % 97) * F.col("stretch"), 0).cast("long")
+    start = F.least(F.col("l_suppkey") % 97, old)
+    return rows.select("l_orderkey", "l_linenumber", wi.kept_position(start, old, new).alias("start"), r6(rate_after_stretch(F.col("q"), F.col("stretch"))).alias("rate"))
+
+
 def redrawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all attempts per order the first that passes, else the base draw."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("attempt"), F.col("l_quantity").alias("rate"))
@@ -122,7 +141,7 @@ def redrawn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling window sums of a conversation's letters against the whole."""
-    rows = table(spark, sf_dir, "documents").where("n_chars >= 400").select(F.col("doc_id").alias("source_id"), "text", F.col("n_chars").alias("length"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text", F.col("n_chars").alias("length"))
     cut = wi.tumbling_starts(rows, 400).withColumn("part", F.expr("substring(text, cast(window_start as int) + 1, 400)"))
     windows = cut.select("source_id", F.length(F.regexp_replace("part", "[^a-z]", "")).cast("double").alias("pred"))
     whole = rows.select("source_id", F.length(F.regexp_replace("text", "[^a-z]", "")).cast("double").alias("pred"))
@@ -156,6 +175,8 @@ QUERIES = {
     "q_short_part_windows": short_part_windows,
     "q_flagged_windows": flagged_windows,
     "q_stretch_plans": stretch_plans,
+    "q_excerpt_labels": excerpt_labels,
+    "q_kept_positions": kept_positions,
     "q_redrawn": redrawn,
     "q_split_consistency": split_consistency,
     "q_concat_additivity": concat_additivity,
@@ -197,10 +218,17 @@ win AS (SELECT source_id, unnest(range(0, (n - 400) // 50 + 1)) AS w FROM src)
 SELECT DISTINCT source_id, w AS "window" FROM win JOIN placed USING (source_id) WHERE length < 400 AND w * 50 < "offset" + length AND "offset" < w * 50 + 400""",
     "q_flagged_windows": """WITH s AS (SELECT conv_id AS source_id, sum(length(text)) AS n, bool_or(contains(text, '?')) AS flagged FROM conversations GROUP BY 1)
 SELECT source_id, flagged, ((n - 400) // 50 + 1)::BIGINT AS n FROM s WHERE n >= 400""",
-    "q_stretch_plans": """WITH d AS (SELECT doc_id, n_chars AS n, 0.75::DOUBLE + (doc_id % 3) * 0.25::DOUBLE AS k FROM documents WHERE n_chars >= 1600),
+    "q_stretch_plans": """WITH d AS (SELECT doc_id, n_chars AS n, greatest(0.75::DOUBLE + (doc_id % 3) * 0.25::DOUBLE, 0.5, 900.0::DOUBLE / n_chars) AS k FROM documents),
 e AS (SELECT *, round_even(n * k, 0)::BIGINT AS stretched_length, greatest(floor(50 / k), 0)::BIGINT AS excerpt_start, least(ceil(950 / k), n)::BIGINT AS excerpt_end FROM d)
 SELECT doc_id, stretched_length, excerpt_start, excerpt_end,
-  greatest(least(100 - round_even(excerpt_start * k, 0)::BIGINT, round_even((excerpt_end - excerpt_start) * k, 0)::BIGINT - 800), 0) AS window_start, round(greatest(0.5, 800.0::DOUBLE / n), 6) AS least_stretch FROM e""",
+  greatest(least(100 - round_even(excerpt_start * k, 0)::BIGINT, round_even((excerpt_end - excerpt_start) * k, 0)::BIGINT - 800), 0) AS window_start, round(greatest(0.5, 900.0::DOUBLE / n), 6) AS least_stretch FROM e""",
+    "q_excerpt_labels": f"""WITH {EVENTS_SQL}, k AS (SELECT source_id, floor(length)::BIGINT AS n, 0.75::DOUBLE + (source_id % 3) * 0.25::DOUBLE AS k, floor(length * (0.75::DOUBLE + (source_id % 3) * 0.25::DOUBLE) / 3)::BIGINT AS a FROM sources),
+e AS (SELECT *, greatest(floor((a - {int(HOP)}) / k), 0)::BIGINT AS x, least(ceil((a + {int(SIZE) + int(HOP)}) / k), n)::BIGINT AS y FROM k),
+w AS (SELECT *, greatest(least(a - round_even(x * k, 0)::BIGINT, round_even((y - x) * k, 0)::BIGINT - {int(SIZE)}), 0) AS w FROM e),
+m AS (SELECT w.source_id, w, (s - x) * k AS s, (e - x) * k AS e FROM w LEFT JOIN spans USING (source_id))
+SELECT source_id, w AS window_start, round(coalesce(sum(CASE WHEN e > s THEN least(greatest(least(e, w + {SIZE}) - greatest(s, w), 0) / (e - s), 1) WHEN s >= w AND s < w + {SIZE} THEN 1 ELSE 0 END), 0), 6) AS label FROM m GROUP BY 1, 2""",
+    "q_kept_positions": """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey % 97 AS old, round_even((l_partkey % 97) * (1 + l_discount), 0)::BIGINT AS new, least(l_suppkey % 97, l_partkey % 97) AS was, l_quantity / (1 + l_discount) AS rate FROM lineitem)
+SELECT l_orderkey, l_linenumber, (CASE WHEN old > 0 THEN round_even(was * new / greatest(old, 1), 0) ELSE 0 END)::BIGINT AS start, round(rate, 6) AS rate FROM r""",
     "q_redrawn": """WITH t AS (SELECT l_orderkey, l_linenumber - 1 AS attempt, l_quantity AS rate FROM lineitem)
 SELECT l_orderkey, attempt, rate FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY (rate >= 30)::INT DESC, attempt, rate) AS k FROM t WHERE rate >= 30 OR attempt = 0) WHERE k = 1""",
     "q_split_consistency": """WITH d AS (SELECT doc_id AS source_id, text, n_chars // 400 AS k FROM documents WHERE n_chars >= 400)
