@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanmill.functions import text as tx
-from spanmill.functions.numeric import band
+from spanmill.functions.numeric import band, rate
 
 # Reasons, in the order in which they are tested.
 VOTES, EMPTY, UNCONVERTED, DIGITS, NO_DURATION, OUTLIER = "down_votes", "empty_sentence", "unconverted", "long_digit_run", "missing_duration", "outlier"
@@ -234,3 +234,13 @@ def label_quality(pairs: DataFrame, gold: str = "gold", estimate: str = "estimat
 def difference_buckets(pairs: DataFrame, gold: str = "gold", estimate: str = "estimate") -> DataFrame:
     d = F.abs(F.col(estimate) - F.col(gold))
     return pairs.groupBy(F.when(d <= 3, d.cast("int").cast("string")).otherwise("4+").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def eligible(count: Column, other: Column, reading: Column, low: int, high: int) -> Column:
+    """Whether two counts of units agree, lie in [low, high], and the reading is all kana; a null is not eligible."""
+    return F.coalesce(count.between(low, high) & (count == other) & ~tx.has_other(reading), F.lit(False))
+
+
+def segments(records: DataFrame, root: str, path: str = "path", units: str = "units", seconds: str = "seconds") -> DataFrame:
+    """Items to evaluate: the record's columns with the file below `root` and the true rate; a duration that is not positive is an error."""
+    return records.withColumn("file", F.concat_ws("/", F.lit(root.rstrip("/")), F.col(path))).withColumn("truth", rate(F.col(units), F.col(seconds)))

@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from spanmill.functions.arrays import gained, mixed_at
 from spanmill.functions.numeric import band, drawn_between, hash_uniform, stretch_cdf
-from spanmill.functions.signal import band_pass_udf, reverberated_udf
+from spanmill.functions.signal import band_pass_udf, ctc_loss_udf, reverberated_udf
 from spanmill.functions.text import collapsed
+from spanmill.functions.waveforms import stretched_udf
 from spanmill.operators import metrics, registry, splitting, windows
 from spanmill.operators.rules import Bound, meets_all
 
@@ -110,20 +111,25 @@ def degraded(items: DataFrame, noises: DataFrame, key: str, samples: str, respon
 def augmented(
     planned: DataFrame, key: str, samples: str, response: str, noise: str, rate: float, snr: tuple[float, float] = (0.0, 20.0), gain: tuple[float, float] = (-6.0, 6.0), seed: int = 42
 ) -> DataFrame:
-    """Adds `augmented`: the steps of augmentation_plan()'s `applied` in their order (reverb, noise, band, volume), with
-    ratios and gains drawn by the item's key. A step that is not applied leaves the samples as they are."""
+    """Adds `augmented`: the steps of augmentation_plan()'s `applied` in their order (stretch, if the plan has factors,
+    reverb, noise, band, volume), with ratios and gains drawn by the item's key. A step that is not applied leaves the
+    samples as they are."""
     k, s = F.col(key).cast("string"), F.lit(str(seed))
     on = lambda n: F.array_contains("applied", n)
     ratio = drawn_between(hash_uniform(s, F.lit("snr"), k), *snr)
     db = drawn_between(hash_uniform(s, F.lit("gain"), k), *gain)
     # Marked as not deterministic, the kernels stay in projections of their own: a lambda cannot hold a Python function.
-    wet = reverberated_udf.asNondeterministic()(F.when(on("reverb"), F.col(samples)), F.col(response))
-    out = planned.withColumn("__wet", wet).withColumn("__x", F.coalesce("__wet", samples))
+    out = planned.withColumn("__x", F.col(samples))
+    if "stretch" in planned.columns:
+        long = stretched_udf.asNondeterministic()(F.when(on("stretch"), F.col("__x")), F.col("stretch"))
+        out = out.withColumn("__long", long).withColumn("__x", F.coalesce("__long", "__x"))
+    wet = reverberated_udf.asNondeterministic()(F.when(on("reverb"), F.col("__x")), F.col(response))
+    out = out.withColumn("__wet", wet).withColumn("__x", F.coalesce("__wet", "__x"))
     fit = F.transform(F.sequence(F.lit(0), F.size("__x") - 1), lambda i: F.get(F.col(noise), F.pmod(i, F.size(noise))))
     out = out.withColumn("__x", F.when(on("noise"), mixed_at(F.col("__x"), fit, ratio)).otherwise(F.col("__x")))
     thin = band_pass_udf(rate * 0.05, rate * 0.35, rate).asNondeterministic()(F.when(on("band"), F.col("__x")))
     out = out.withColumn("__thin", thin).withColumn("__x", F.coalesce("__thin", "__x"))
-    return out.withColumn("augmented", F.when(on("volume"), gained(F.col("__x"), db)).otherwise(F.col("__x"))).drop("__x", "__wet", "__thin")
+    return out.withColumn("augmented", F.when(on("volume"), gained(F.col("__x"), db)).otherwise(F.col("__x"))).drop("__x", "__long", "__wet", "__thin")
 
 
 def stretch_report(rows: DataFrame, stretch: str, low: float, high: float, edges: Sequence[float], kind: str = "log") -> DataFrame:
@@ -205,15 +211,22 @@ def epoch_stats(rows: DataFrame, epoch: str, kind: str, stretch: str, label: str
     )
 
 
-def emission_metrics(rows: DataFrame, emission: str, reference: str, blank: int) -> DataFrame:
+def emission_metrics(rows: DataFrame, emission: str, reference: str, blank: int, likelihood: bool = False) -> DataFrame:
     """From frames of class scores and a reference of class ids: adds hyp (collapsed best classes), the share of frames
-    that are not blank, and the edit distance over the reference's length (of the ids as characters)."""
+    that are not blank, and the edit distance over the reference's length (of the ids as characters); if asked also
+    `token_nll`, the reference's negative log likelihood a token, null if the frames are too few for it."""
     best = F.transform(emission, lambda f: (F.array_position(f, F.array_max(f)) - 1).cast("int"))
     out = rows.withColumn("__best", best).withColumn("hyp", collapsed(F.col("__best"), blank))
     share = F.size(F.filter("__best", lambda x: x != blank)) / F.size("__best")
     text = lambda c: F.array_join(F.transform(c, lambda x: F.char(x + 65)), "")
     distance = F.levenshtein(text(F.col(reference)), text(F.col("hyp")))
-    return out.withColumn("nonblank", share).withColumn("cer", distance / F.greatest(F.size(reference), F.lit(1))).drop("__best")
+    tokens = F.greatest(F.size(reference), F.lit(1))
+    out = out.withColumn("nonblank", share).withColumn("cer", distance / tokens).drop("__best")
+    if not likelihood:
+        return out
+    out = out.withColumn("__nll", ctc_loss_udf(blank)(F.col(emission), F.col(reference)))
+    finite = F.col("__nll") < float("inf")
+    return out.withColumn("token_nll", F.when(finite, F.col("__nll") / tokens)).drop("__nll")
 
 
 def rule_report(rows: DataFrame, rule: Sequence[Bound], known: str, rate: str) -> DataFrame:

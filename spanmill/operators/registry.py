@@ -46,12 +46,25 @@ def results_rows(rows: DataFrame) -> DataFrame:
     return rows.select(*(clean(f).alias(f.name) for f in SCHEMA.fields))
 
 
-def append_results(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Appends to a Parquet table at `path`; one of another layout is refused, not adapted."""
-    present = existing_columns(spark, path)
+def _read(spark: SparkSession, path: str, form: str) -> DataFrame:
+    return spark.read.format(form).options(**({"header": "true"} if form == "csv" else {})).load(path)
+
+
+def _write(rows: DataFrame, path: str, form: str, mode: str) -> None:
+    rows.write.mode(mode).format(form).options(**({"header": "true"} if form == "csv" else {})).save(path)
+
+
+def results(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """The table's rows in their types; CSV holds a missing value as an empty field."""
+    return results_rows(_read(spark, path, form))
+
+
+def append_results(spark: SparkSession, rows: DataFrame, path: str, form: str = "parquet") -> None:
+    """Appends to a table at `path`, Parquet or CSV with headers; one of another layout is refused, not adapted."""
+    present = existing_columns(spark, path, form)
     if present and present != COLUMNS:
         raise SchemaDrift("an earlier layout: upgrade it first" if present in LAYOUTS else f"unknown layout {present}")
-    results_rows(rows).write.mode("append").parquet(path)
+    _write(results_rows(rows), path, form, "append")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -59,11 +72,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def existing_columns(spark: SparkSession, path: str) -> tuple[str, ...]:
-    return tuple(spark.read.parquet(path).columns) if _exists(spark, path) else ()
+def existing_columns(spark: SparkSession, path: str, form: str = "parquet") -> tuple[str, ...]:
+    return tuple(_read(spark, path, form).columns) if _exists(spark, path) else ()
 
 
-def upgrade_results(spark: SparkSession, path: str) -> bool:
+def upgrade_results(spark: SparkSession, path: str, form: str = "parquet") -> bool:
     """Adds the missing trailing columns, as nulls; other values stay. False if there is nothing to add.
 
     The new version is written beside the old one; the old one is renamed aside, the new one into its place, and only
@@ -74,15 +87,14 @@ def upgrade_results(spark: SparkSession, path: str) -> bool:
     fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(place) and fs.exists(aside):
         fs.rename(aside, place)
-    present = existing_columns(spark, path)
+    present = existing_columns(spark, path, form)
     if present == COLUMNS:
         fs.delete(aside, True)
         return False
     if present not in LAYOUTS:
         raise SchemaDrift(f"unknown layout {present}")
-    empty = spark.createDataFrame([], SCHEMA)
-    widened = spark.read.parquet(path).unionByName(empty, allowMissingColumns=True).select(*COLUMNS)
-    widened.write.mode("overwrite").parquet(f"{path}.upgrading")
+    old = _read(spark, path, form)
+    _write(results_rows(old.withColumns({c: F.lit(None) for c in COLUMNS if c not in present})), f"{path}.upgrading", form, "overwrite")
     fs.delete(aside, True)
     if not fs.rename(place, aside):
         raise OSError(f"cannot move {path} aside")

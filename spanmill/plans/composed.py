@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmill.functions.arrays import power
+from spanmill.functions.arrays import fitted, power
+from spanmill.operators import augmenting as au
 from spanmill.operators import catalog as ca
 from spanmill.operators import composed as co
 from spanmill.operators import splitting as sp
@@ -84,6 +85,24 @@ def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.array_join("applied", "+").alias("applied"), F.size("augmented").alias("samples"), r6(power(F.col("augmented"))).alias("power"))
 
 
+CHAIN = {"stretch": au.Step(0.5, {"factor": (0.5, 2.0)}), "noise": au.Step(0.5, {"snr": (0.0, 20.0)}), "volume": au.Step(0.4, {"db": (-6.0, 6.0)})}
+MASK = au.Step(0.6, {"masks": (1, 2), "width": (0, 2)})
+
+
+def augmentation_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A checked chain with stretches over waveforms tiled to 0.05 s: steps and lengths."""
+    w = waves(spark, sf_dir).select("vec_id", fitted(F.col("x"), F.lit(800), F.lit(0)).alias("x"))
+    out = au.run(w.withColumn("response", F.array(F.lit(1.0), F.lit(0.5))).withColumn("noise", F.reverse("x")), CHAIN, "vec_id", "x", "response", "noise", 16000.0)
+    return out.select("vec_id", F.array_join("applied", "+").alias("applied"), F.size("augmented").alias("samples"), "seconds")
+
+
+def feature_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waveforms as 16 frames of four bands, some of them masked."""
+    frames = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("x", i * 4 + 1, F.lit(4)))
+    out = au.feature_masked(waves(spark, sf_dir).select("vec_id", frames.alias("e")), "vec_id", "e", MASK)
+    return out.select("vec_id", F.size("masks").alias("masks"), r6(F.aggregate(F.flatten("masked_features"), F.lit(0.0), lambda a, v: a + v)).alias("total"))
+
+
 def stretch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = co.augmentation_plan(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", {"stretch": 1.1})
     return rounded(co.stretch_report(rows, "stretch", 0.5, 2.0, (0.6, 0.8, 1.0, 1.4, 1.9)))
@@ -123,6 +142,12 @@ def emission_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("vec_id", F.array_join("hyp", ",").alias("hyp"), "nonblank", "cer"))
 
 
+def emission_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames as scores of three tokens, one of them twice in a row: likelihood a token."""
+    rows = waves(spark, sf_dir).select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("x", i * 4 + 1, F.lit(4))).alias("e"), F.array(F.lit(1), F.lit(1), F.lit(3)).alias("ref"))
+    return rounded(co.emission_metrics(rows, "e", "ref", 0, likelihood=True).select("vec_id", "token_nll"))
+
+
 def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = [("l_discount", ">=", 0.05), ("l_tax", "<", 0.04)]
     rows = judged(spark, sf_dir).withColumn("known", F.col("condition") == "R")
@@ -154,12 +179,15 @@ QUERIES = {
     "q_augmentation_plan": augmentation_plan,
     "q_degraded": degraded,
     "q_augmented": augmented,
+    "q_augmentation_chain": augmentation_chain,
+    "q_feature_masks": feature_masks,
     "q_stretch_report": stretch_report,
     "q_window_ranges": window_ranges,
     "q_ring_read": ring_read,
     "q_evaluate": evaluate,
     "q_epoch_stats": epoch_stats,
     "q_emission_metrics": emission_metrics,
+    "q_emission_likelihood": emission_likelihood,
     "q_rule_report": rule_report,
     "q_span_inspection": span_inspection,
     "q_log_counts": log_counts,
@@ -178,6 +206,7 @@ allspans AS (SELECT source_id, s + off AS s, e + off AS e FROM loc JOIN src USIN
 allsources AS (SELECT source_id, max(off) + {BLOCK} AS length FROM src GROUP BY 1),
 {labels_sql("lab", "allspans", "allsources")},
 ws AS (SELECT source_id, CASE WHEN starts_with(source_id, 'concat-') THEN 'concat' ELSE 'single' END AS kind, w, label, starts FROM lab)"""
+_VU = lambda n, more="''": f"(('0x' || substr(sha256('42.0:{n}:' || vec_id || {more}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 _HU = lambda n: f"(('0x' || substr(sha256('42.0:{n}:' || c_custkey), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 _BEST = "list_transform(range(16), lambda i: list_position(x[4 * i + 1 : 4 * i + 4], list_max(x[4 * i + 1 : 4 * i + 4])) - 1)"
 
@@ -194,6 +223,15 @@ e AS (SELECT kind, total * w / 7::DOUBLE AS x, total FROM m, t), a AS (SELECT ki
 i AS (SELECT 'silence-' || kind || '-' || k AS item_id, kind FROM (SELECT kind, unnest(range(c)) AS k FROM a)),
 u AS (SELECT *, ('0x' || substr(sha256('42:' || item_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM i)
 SELECT item_id, kind, duration, 0 AS units FROM u JOIN v ON v.k = floor(u * v.n)::BIGINT + 1""",
+    "q_augmentation_chain": f"""WITH {WAVES_SQL}, d AS (SELECT vec_id, CASE WHEN {_VU("stretch")} < 0.5 THEN exp(ln(0.5) + {_VU("factor")} * ln(4.0)) ELSE 1 END AS f,
+  array_to_string(list_filter([CASE WHEN {_VU("stretch")} < 0.5 THEN 'stretch' END, CASE WHEN {_VU("noise")} < 0.5 THEN 'noise' END, CASE WHEN {_VU("volume")} < 0.4 THEN 'volume' END], lambda v: v IS NOT NULL), '+') AS applied FROM waves)
+SELECT vec_id, applied, round_even(800 * f, 0)::INT AS samples, round_even(800 * f, 0) / 16000 AS seconds FROM d""",
+    "q_feature_masks": f"""WITH {WAVES_SQL}, i AS (SELECT vec_id, x, CASE WHEN {_VU("mask")} < 0.6 THEN 1 + floor({_VU("masks", "':0'")} * 2) ELSE 0 END AS n FROM waves),
+m AS (SELECT vec_id, n, k, floor({_VU("width", "':' || k")} * 3)::INT AS width, {_VU("first", "':' || k")} AS u FROM i, (VALUES (1), (2)) t(k) WHERE k <= n),
+p AS (SELECT vec_id, floor(u * (5 - width))::INT AS first, width FROM m WHERE width > 0),
+h AS (SELECT vec_id, b, bool_or(first IS NOT NULL) AS held FROM waves CROSS JOIN range(4) t(b) LEFT JOIN p USING (vec_id) WHERE first IS NULL OR (b >= first AND b < first + width) GROUP BY 1, 2),
+g AS (SELECT vec_id, list(b) FILTER (held) AS b FROM h GROUP BY 1), c AS (SELECT vec_id, count(*)::INT AS masks FROM p GROUP BY 1)
+SELECT vec_id, coalesce(masks, 0) AS masks, round(list_sum(list_transform(range(64), lambda t: CASE WHEN list_contains(coalesce(b, []), t % 4) THEN 0 ELSE x[t + 1] END)), 6) AS total FROM waves LEFT JOIN g USING (vec_id) LEFT JOIN c USING (vec_id)""",
     "q_augmentation_plan": f"""WITH c AS (SELECT c_custkey, CASE WHEN {_HU("stretch")} < 0.7 THEN exp(ln(0.5) + {_HU("factor")} * ln(4.0)) ELSE 1 END AS f,
   list_filter([{", ".join(f"CASE WHEN {_HU(n)} < {p} THEN '{n}' END" for n, p in (("stretch", 0.7), ("reverb", 0.3), ("noise", 0.5), ("volume", 0.4)))}], lambda x: x IS NOT NULL) AS s FROM customer)
 SELECT c_custkey, round(f, 6) AS stretch, array_to_string(s, '+') AS selected, CASE WHEN f < 0.8 AND list_contains(s, 'noise') THEN 'noise' ELSE '' END AS skipped,
@@ -212,6 +250,11 @@ SELECT condition, count(*) AS n, count(*) FILTER (status = 'F') AS n_single, cou
   round(avg(label), 6) AS label_mean, round(avg((label = 0)::INT), 6) AS zero_share, round(avg((label >= 4)::INT), 6) AS ge_4, round(avg((label >= 8)::INT), 6) AS ge_8 FROM e GROUP BY 1""",
     "q_emission_metrics": f"""WITH {WAVES_SQL}, b AS (SELECT vec_id, {_BEST} AS b FROM waves), h AS (SELECT vec_id, b, list_filter(list_transform(range(1, 17), lambda i: CASE WHEN i > 1 AND b[i] = b[i - 1] THEN 0 ELSE b[i] END), lambda v: v != 0) AS h FROM b)
 SELECT vec_id, array_to_string(h, ',') AS hyp, round(len(list_filter(b, lambda v: v != 0)) / 16, 6) AS nonblank, round(levenshtein('BCDB', array_to_string(list_transform(h, lambda v: chr((v + 65)::INT)), '')) / 4, 6) AS cer FROM h""",
+    # The forward recursion over the states blank, 1, blank, 1, blank, 3, blank; only the last token may skip its blank.
+    "q_emission_likelihood": f"""WITH RECURSIVE {WAVES_SQL}, s AS (SELECT vec_id, x, [0, 1, 0, 1, 0, 3, 0] AS s FROM waves),
+r AS (SELECT vec_id, x, s, 1 AS t, list_transform(range(1, 8), lambda j: CASE WHEN j <= 2 THEN exp(x[s[j] + 1]) ELSE 0.0::DOUBLE END) AS p FROM s UNION ALL
+  SELECT vec_id, x, s, t + 1, list_transform(range(1, 8), lambda j: (p[j] + CASE WHEN j > 1 THEN p[j - 1] ELSE 0 END + CASE WHEN j = 6 THEN p[4] ELSE 0 END) * exp(x[4 * t + s[j] + 1])) FROM r WHERE t < 16)
+SELECT vec_id, round(-ln(p[6] + p[7]) / 3, 6) AS token_nll FROM r WHERE t = 16""",
     "q_rule_report": f"""WITH {JUDGED_SQL}, f AS (SELECT {BAND_SQL.format("truth")} AS band, l_discount >= 0.05 AND l_tax < 0.04 AS h, condition = 'R' AS k FROM judged)
 SELECT band, count(*) AS n, count(*) FILTER (h) AS flagged, count(*) FILTER (k) AS known, count(*) FILTER (h AND NOT k) AS new, count(*) FILTER (k AND NOT h) AS missed FROM f GROUP BY 1""",
     "q_span_inspection": f"""WITH {EVENTS_SQL}, g AS (SELECT *, lead(s) OVER (PARTITION BY source_id ORDER BY s, e) - s AS gap FROM spans)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +63,33 @@ def feature_shards(features: DataFrame, path: str, shards: int, failures: str |
         features.where("feature is null").drop("feature").write.mode("overwrite").json(failures)
 
 
+def sharded_features(spark: SparkSession, items: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, shards: int, at_once: int = 64, key: str = "item_id") -> list[int]:
+    """Features of `items` in shards dealt by a hash of the id, some shards a job; returns the shards that this call made.
+
+    `compute` maps items (with `shard`, which it keeps) to rows with `feature`, null where there is none. A shard counts
+    as done once its line (shard, shards, items, failed) is written, which is after its rows; a call after a crash makes
+    only the others, and rows that a crash left behind are replaced. Raises ValueError if the table at `path` was begun
+    with another number of shards.
+    """
+    marks = spark.createDataFrame([], "shard int, shards int, items long, failed long")
+    if _exists(spark, f"{path}/done"):
+        marks = spark.read.schema(marks.schema).json(f"{path}/done", mode="DROPMALFORMED")
+    made = [(r["shard"], r["shards"]) for r in marks.select("shard", "shards").distinct().collect()]
+    if any(n != shards for _, n in made):
+        raise ValueError(f"{path} was begun with another number of shards")
+    todo = sorted(set(range(shards)) - {s for s, _ in made})
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"))
+    for first in range(0, len(todo), at_once):
+        batch = todo[first : first + at_once]
+        rows = compute(dealt.where(F.col("shard").isin(batch)))
+        rows.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(f"{path}/features")
+        wanted = spark.createDataFrame([(s, shards) for s in batch], "shard int, shards int")
+        found = spark.read.schema(rows.schema).parquet(f"{path}/features").where(F.col("shard").isin(batch))
+        counts = found.groupBy("shard").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("feature").isNull()).alias("failed"))
+        wanted.join(counts, "shard", "left").fillna(0).coalesce(1).write.mode("append").json(f"{path}/done")
+    return todo
+
+
 def manifest(features: DataFrame, split: str = "split") -> DataFrame:
     """Items, frames and the ranges of ids of each split."""
     return features.groupBy(split).agg(F.count(F.lit(1)).alias("items"), F.sum("frames").alias("frames"), F.min("item_id").alias("first"), F.max("item_id").alias("last"))
