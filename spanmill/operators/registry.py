@@ -94,7 +94,8 @@ def upgrade_results(spark: SparkSession, path: str, form: str = "parquet") -> bo
     if present not in LAYOUTS:
         raise SchemaDrift(f"unknown layout {present}")
     old = _read(spark, path, form)
-    _write(results_rows(old.withColumns({c: F.lit(None) for c in COLUMNS if c not in present})), f"{path}.upgrading", form, "overwrite")
+    added = {f.name: F.lit(None).cast("string" if form == "csv" else f.dataType) for f in SCHEMA.fields if f.name not in present}
+    _write(old.withColumns(added).select(*COLUMNS), f"{path}.upgrading", form, "overwrite")
     fs.delete(aside, True)
     if not fs.rename(place, aside):
         raise OSError(f"cannot move {path} aside")
