@@ -80,7 +80,7 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates, bands, bins, rounding and formats of orders."""
+    """Rates, bands, bins, rounding and formats of orders. Bytes are in MiB at most, however many."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 31415.926535).alias("x"))
     x = F.col("x")
     return o.select(
@@ -96,7 +96,7 @@ def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
         r6(nu.stretch_cdf(x, 1.0, 9.0, "log")).alias("cdf"),
         r6(nu.rate_or_zero(x, F.col("o_orderkey") % 3)).alias("rate"),
         nu.clock(F.col("o_orderkey")).alias("clock"),
-        nu.human_bytes(F.col("o_orderkey") * 1000 + 7).alias("bytes"),
+        nu.human_bytes(F.col("o_orderkey") * 1000 + 7, "MiB").alias("bytes"),
     )
 
 
