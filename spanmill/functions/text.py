@@ -116,17 +116,60 @@ def unit_class(unit: Column) -> Column:
     return F.struct(*(v.alias(k) for k, v in flags.items()), special.alias("special"), contracted.alias("contracted"))
 
 
-def special_counts(kana: Column) -> Column:
-    """How many units of a reading are of each class."""
-    of = lambda f: F.size(F.filter(units(kana), f)).cast("long")
-    return F.struct(
-        of(lambda u: u == LONG_MARK).alias("long"),
-        of(lambda u: u == NASAL).alias("nasal"),
-        of(lambda u: u == GEMINATE).alias("geminate"),
-        of(lambda u: u.isin(LONG_MARK, NASAL, GEMINATE)).alias("special"),
-        of(lambda u: (F.length(u) == 2)).alias("contracted"),
-        F.size(units(kana)).cast("long").alias("units"),
-    )
+#: Classes of characters: not kana, kana that begin a unit (the last three alone are special), small ones; left out.
+_OTHER, _PLAIN, _LONG, _NASAL, _GEMINATE, _SMALL_ONE, _OUT = range(7)
+_BEGIN = slice(_PLAIN, _SMALL_ONE)
+#: Bytes of text whose classes are held at a time; the rest of a batch is held in Arrow.
+_CLASS_BYTES = 1 << 20
+_COUNTS = ("long", "nasal", "geminate", "special", "contracted", "units")
+
+
+def _class_table(spelling: Mapping[str, str] | None) -> np.ndarray:
+    """Classes by code point; the last one is that of all code points beyond."""
+    of = {chr(c): _PLAIN for c in [*range(ord("ァ"), ord("ヺ") + 1)]} | dict.fromkeys(SMALL, _SMALL_ONE) | {LONG_MARK: _LONG, NASAL: _NASAL, GEMINATE: _GEMINATE}
+    rest = _OTHER if spelling is None else _OUT
+    if spelling is not None:
+        of = {c: of.get(k, _OTHER) for c, k in spelling.items()}
+    table = np.full(max(map(ord, of), default=0) + 2, rest, np.uint8)
+    for c, k in of.items():
+        table[ord(c)] = k
+    return table
+
+
+def _class_counts(texts: pa.Array, table: np.ndarray) -> np.ndarray:
+    """A row a text, a column for each of _COUNTS: each character's class and whether a small one follows, counted."""
+    rows = [(x or b"").decode("utf-8", "replace") for x in texts.cast(pa.large_binary()).to_pylist()]
+    codes = np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32)
+    kinds, ends = table[np.minimum(codes, table.size - 1)], np.cumsum([len(x) for x in rows])
+    kept = np.flatnonzero(kinds != _OUT)
+    kinds, ends = kinds[kept], np.searchsorted(kept, ends)
+    before = np.zeros(kinds.size, np.uint8)
+    before[:-1] = kinds[1:] == _SMALL_ONE
+    lengths = np.diff(ends, prepend=0)
+    before[ends[lengths > 0] - 1] = 0
+    keys = np.repeat(np.arange(len(rows)) * (2 * _OUT), lengths) + (kinds + before * np.uint8(_OUT))
+    alone, joined = np.bincount(keys, minlength=len(rows) * 2 * _OUT).reshape(-1, 2, _OUT).transpose(1, 0, 2)
+    special = alone[:, _LONG : _GEMINATE + 1]
+    contracted = joined[:, _BEGIN].sum(axis=1)
+    smalls = alone[:, _SMALL_ONE] + joined[:, _SMALL_ONE]
+    return np.column_stack((special, special.sum(axis=1), contracted, alone[:, _BEGIN].sum(axis=1) + smalls))
+
+
+def special_counts(kana: Column, spelling: Mapping[str, str] | None = None) -> Column:
+    """How many units of a reading are of each class, in one pass over its characters.
+
+    spelling: the kana of the characters that have any; the others are left out of the reading.
+    """
+    table = _class_table(spelling)
+
+    @F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in _COUNTS]))
+    def counts(texts: pa.Array) -> pa.Array:
+        place = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // _CLASS_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(texts)]
+        found = np.concatenate([_class_counts(texts.slice(a, b - a), table) for a, b in zip(cuts, cuts[1:], strict=False)])
+        return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in found.T], names=list(_COUNTS), mask=texts.is_null())
+
+    return counts(kana)
 
 
 def word_lengths(readings: Column) -> Column:

@@ -12,6 +12,7 @@ from spanmill.plans.inputs import EVENTS_SQL, r6, rounded, table, timed_events
 
 #: Letters that stand for kana: five full ones, two small ones, the long mark, the nasal, the geminate.
 LETTERS, READING = "aeioutsnhrd", "アエイオウャョーンッー"
+SPELLING = dict(zip(LETTERS, READING, strict=True))
 
 
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def unit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unit_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _readings(spark, sf_dir).select("doc_id", tx.special_counts(F.col("kana")).alias("c")).select("doc_id", "c.*")
+    return table(spark, sf_dir, "documents").select("doc_id", tx.special_counts(F.col("text"), SPELLING).alias("c")).select("doc_id", "c.*")
 
 
 def special_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
