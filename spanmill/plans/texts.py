@@ -34,11 +34,11 @@ def unit_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def special_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of special units, its tenth, and units flagged one by one."""
-    rows = _readings(spark, sf_dir).withColumn("c", tx.special_counts(F.col("kana")))
-    share = nu.part_of(F.col("c.special"), F.col("c.units"))
-    flags = F.size(F.filter(tx.units(F.col("kana")), lambda u: tx.unit_class(u)["special"]))
-    return rows.select("doc_id", r6(share).alias("share"), nu.tenth_bin(F.round(share, 9)).alias("tenth"), flags.alias("flagged"))
+    """The share of special units, its tenth, and their number; without a text no share, and the lowest tenth."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", tx.special_counts(F.col("text"), SPELLING).alias("c"))
+    special, units = F.col("c.special"), F.col("c.units")
+    share = F.when(units.isNotNull(), nu.part_of(special, units))
+    return rows.select("doc_id", r6(share).alias("share"), nu.tenth_bin(F.round(share, 9)).alias("tenth"), special.cast("int").alias("flagged"))
 
 
 def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ def test_pieces_of_a_batch_meet(spark):
     assert sorted(tuple(r) for r in got) == [(i, *by_one(k)) for i, k in enumerate(kana)]
 
 
-@pytest.mark.parametrize("name", ["q_unit_classes"])
+@pytest.mark.parametrize("name", ["q_unit_classes", "q_special_shares"])
 def test_texts_are_read_once_and_equal_their_sql(spark, tmp_path, name):
     texts = ["", "xyz", "t", "tt", "nxt", "n t", "hrd", "aeioutsnhrd" * 400, "ñandú 𠮷 tent", "q" * 5000 + "at", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -51,3 +51,14 @@ def test_texts_are_read_once_and_equal_their_sql(spark, tmp_path, name):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     columns = ", ".join(f'"{c}"' for c in df.columns)
     assert normal(df.collect()) == normal(con.execute(f"SELECT {columns} FROM ({catalog.ORACLES[name]})").fetchall())
+
+
+def test_classes_one_by_one(spark):
+    """What unit_class() says of each unit, added up, is what special_counts() gives."""
+    rows = [(i, k) for i, k in enumerate(ODD) if k is not None]
+    df = spark.createDataFrame(rows, "i long, kana string")
+    flags = df.select("i", F.explode_outer(tx.units(F.col("kana"))).alias("u")).select("i", tx.unit_class(F.col("u")).alias("f"))
+    names = ("long", "nasal", "geminate", "special", "contracted")
+    added = flags.groupBy("i").agg(*(F.coalesce(F.sum(F.col(f"f.{n}").cast("long")), F.lit(0)).alias(n) for n in names))
+    counted = df.select("i", tx.special_counts(F.col("kana")).alias("c")).select("i", *(f"c.{n}" for n in names))
+    assert sorted(map(tuple, added.collect())) == sorted(map(tuple, counted.collect()))
